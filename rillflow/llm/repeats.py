@@ -8,7 +8,7 @@ are one string, its windows repeat as a whole. Where they are several, the strin
 buckets and judged there by the operator; strings of a minimiser with very many of them go as single windows, which are
 combined before the shuffle.
 
-Rows are told apart by id and a digest of the text, so repeated ids do no harm.
+Rows that repeat an id are told apart by 32 bits of their text's digest.
 """
 
 from __future__ import annotations
@@ -28,8 +28,12 @@ from .kernels import minimiser_runs, slices, word_digests, word_spans
 HOT_STRINGS = 4000
 
 _RUN = pa.struct([("mh", pa.int64()), ("dg", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-_BASE = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("sha", pa.string()), ("runs", pa.list_(_RUN))])
-BASE = "doc_id long, size long, sha string, runs array<struct<mh:long,dg:long,start:int,n:int>>"
+_BASE = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("sha", pa.string()), ("tag", pa.int32()), ("runs", pa.list_(_RUN))])
+BASE = "doc_id long, size long, sha string, tag int, runs array<struct<mh:long,dg:long,start:int,n:int>>"
+
+
+def tag_of(raw: bytes) -> int:
+    return int.from_bytes(hashlib.sha256(raw).digest()[:4], "big", signed=True)
 
 
 class Words:
@@ -80,9 +84,10 @@ def _runs(unit, k: int, m: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 at = np.searchsorted(text, np.arange(len(off)))
                 runs = pa.StructArray.from_arrays([pa.array(mh.view(np.int64)), pa.array(dg.view(np.int64)), pa.array(start, pa.int32()), pa.array(count, pa.int32())], fields=list(_RUN))
                 raw = data.tobytes()
-                sha = [hashlib.sha256(unit.join(unit.split(raw[a:b]))).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)]
+                sha = [hashlib.sha256(unit.join(unit.split(raw[a:b]))).digest() for a, b in zip(off[:-1], off[1:], strict=True)]
+                tag = pa.array([int.from_bytes(x[:4], "big", signed=True) for x in sha], pa.int32())
                 ids = batch.column(0).slice(rows.start, rows.stop - rows.start)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(so), pa.int64()), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), runs)], schema=_BASE)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(so), pa.int64()), pa.array([x.hex() for x in sha], pa.string()), tag, pa.ListArray.from_arrays(pa.array(at, pa.int32()), runs)], schema=_BASE)
 
     return run
 
@@ -96,9 +101,9 @@ def _cut(unit, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in _CUT]
-            for text, sha, want in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for text, tag, want in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 parts = unit.split((text.as_py() or "").encode())
-                if hashlib.sha256(unit.join(parts)).hexdigest() != sha:
+                if tag_of(unit.join(parts)) != tag:
                     continue
                 for w in want.as_py():
                     s = unit.join(parts[w["start"] : w["start"] + w["n"] + k - 1])
@@ -144,22 +149,23 @@ class Repeats:
         self.base = self.ws.put(docs.mapInArrow(_runs(unit, k, m), BASE), "base")
 
     def verdicts(self, judge: Callable, across_ids: bool) -> DataFrame:
-        """(doc_id, sha, start, n, first, places, firsts, many) of every run whose minimiser occurs again.
+        """(doc_id, tag, start, n, first, places, firsts, many) of every run whose minimiser occurs again.
 
         across_ids: only minimisers of several ids matter. Rows with a null id take no part.
         """
-        runs = self.base.where("doc_id is not null").select("doc_id", "sha", F.explode("runs").alias("r")).select("doc_id", "sha", "r.*")
+        runs = self.base.where("doc_id is not null").select("doc_id", "tag", F.explode("runs").alias("r")).select("doc_id", "tag", "r.*")
         if across_ids:
             shared = runs.groupBy("mh").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("mh")
         else:
             shared = runs.groupBy("mh").agg(F.count("*").alias("c")).where("c > 1").select("mh")
-        again = self.ws.put(runs.join(shared, "mh"), "again")
-        strings = again.groupBy("mh", "dg").agg(F.min("doc_id").alias("first"), F.count("*").alias("places"), F.min(F.struct("doc_id", "sha", "start", "n")).alias("at"))
-        strings = self.ws.put(strings.select("mh", "dg", "first", "places", "at.doc_id", "at.sha", "at.start", "at.n"), "strings")
+        shared = self.ws.put(shared, "shared", "lz4")
+        again = self.ws.put(restrict(runs, "mh", shared, "mh").join(shared, "mh"), "again", "lz4")
+        strings = again.groupBy("mh", "dg").agg(F.min("doc_id").alias("first"), F.count("*").alias("places"), F.min(F.struct("doc_id", "tag", "start", "n")).alias("at"))
+        strings = self.ws.put(strings.select("mh", "dg", "first", "places", "at.doc_id", "at.tag", "at.start", "at.n"), "strings")
         several = strings.groupBy("mh").agg(F.count("*").alias("c")).where("c > 1")
         want = self.ws.put(strings.join(several, "mh"), "want")
-        per_doc = want.groupBy("doc_id", "sha").agg(F.collect_list(F.struct("mh", "dg", "start", "n", "first", "places")).alias("want"))
-        texts = restrict(self.docs.where("doc_id is not null"), "doc_id", want, "doc_id").join(per_doc, "doc_id").select("text", "sha", "want")
+        per_doc = want.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("mh", "dg", "start", "n", "first", "places")).alias("want"))
+        texts = restrict(self.docs.where("doc_id is not null"), "doc_id", want, "doc_id").join(per_doc, "doc_id").select("text", "tag", "want")
         cut = texts.mapInArrow(_cut(self.unit, self.k), "mh long, dg long, first long, places long, n int, s binary")
         # A repeated row gives its strings twice; one is enough.
         cut = self.ws.put(cut.dropDuplicates(["mh", "dg"]) if self.has_repeats() else cut, "cut")
@@ -177,8 +183,8 @@ class Repeats:
             judged = judged.unionByName(single.select("mh", "dg", F.transform("x", lambda x: x["lo"]).alias("firsts"), F.transform("x", lambda x: x["many"]).alias("many")))
         judged = self.ws.put(judged, "judged")
         known = strings.select("mh", "dg", "first", "places").join(judged, ["mh", "dg"], "left")
-        return again.join(known, ["mh", "dg"]).select("doc_id", "sha", "start", "n", "first", "places", "firsts", "many")
+        return again.join(known, ["mh", "dg"]).select("doc_id", "tag", "start", "n", "first", "places", "firsts", "many")
 
     def has_repeats(self) -> bool:
-        r = self.base.where("doc_id is not null").groupBy("doc_id", "sha").count().where("count > 1").limit(1).count()
+        r = self.base.where("doc_id is not null").groupBy("doc_id", "tag").count().where("count > 1").limit(1).count()
         return bool(r)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, restrict
-from .repeats import Repeats, Words
+from .repeats import Repeats, Words, tag_of
 
 
 def judge(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -49,7 +49,7 @@ def judge(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("sha", pa.string()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
 def covered(size: int, runs: list[dict], k: int, doc_id: int) -> np.ndarray:
@@ -67,13 +67,13 @@ def _remove(k: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in _OUT]
-            for doc, sha, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for doc, tag, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 words = (text.as_py() or "").encode().split()
-                if hashlib.sha256(b" ".join(words)).hexdigest() != sha:
+                if tag_of(b" ".join(words)) != tag:
                     continue
                 gone = covered(len(words), runs.as_py(), k, doc)
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                for c, v in zip(cols, (doc, sha, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None), strict=True):
+                for c, v in zip(cols, (doc, tag, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OUT, strict=True)], schema=_OUT)
 
@@ -88,9 +88,9 @@ def substring_dedup(docs: DataFrame, k: int = 50, m: int = 12, texts: bool = Fal
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     r = Repeats(d, Words, k, m, "substring", 20_000, ws)
     runs = r.verdicts(judge, across_ids=True).where("first < doc_id or array_min(firsts) < doc_id")
-    per_doc = r.ws.put(runs.groupBy("doc_id", "sha").agg(F.collect_list(F.struct("start", "n", "first", "firsts")).alias("runs")), "per_doc")
-    hit = restrict(d.where("doc_id is not null"), "doc_id", per_doc, "doc_id").join(per_doc, "doc_id").select("doc_id", "sha", "text", "runs")
-    out = hit.mapInArrow(_remove(k, texts), "doc_id long, sha string, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id", "sha"])
-    base = r.base.select("doc_id", F.col("size").alias("n_words"), "sha").join(out, ["doc_id", "sha"], "left")
+    per_doc = r.ws.put(runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n", "first", "firsts")).alias("runs")), "per_doc")
+    hit = restrict(d.where("doc_id is not null"), "doc_id", per_doc, "doc_id").join(per_doc, "doc_id").select("doc_id", "tag", "text", "runs")
+    out = hit.mapInArrow(_remove(k, texts), "doc_id long, tag int, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id", "tag"])
+    base = r.base.select("doc_id", F.col("size").alias("n_words"), "sha", "tag").join(out, ["doc_id", "tag"], "left")
     cols = ["doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
     return base.select(*cols, *(["kept_text"] if texts else []))

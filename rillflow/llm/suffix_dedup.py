@@ -26,41 +26,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, restrict
-from .repeats import Bytes, Repeats
+from .repeats import Bytes, Repeats, tag_of
+
+
+#: Bytes of a symbol. A string is four columns' strings, one for each phase, so suffixes start at every byte.
+STEP = 4
+_BLOCK = 64
 
 
 def range_minima(a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """min(a[lo:hi]) of each range; none is empty."""
-    if not len(lo):
-        return a[:0]
+    """min(a[lo:hi]) of each range; none is empty. Long ranges use the minima of blocks."""
+    out = np.full(len(lo), np.iinfo(a.dtype).max, a.dtype)
+    first, last = -(-lo // _BLOCK), hi // _BLOCK
+    far = last > first
+
+    def plain(x: np.ndarray, at: np.ndarray, l: np.ndarray, h: np.ndarray) -> None:
+        keep = h > l
+        if keep.any():
+            at, l, h = at[keep], l[keep], h[keep]
+            ends = np.empty(2 * len(l), np.int64)
+            ends[0::2], ends[1::2] = l, h
+            out[at] = np.minimum(out[at], np.minimum.reduceat(x, ends)[0::2])
+
     order = np.argsort(lo, kind="stable")
-    at = np.empty(2 * len(lo), np.int64)
-    at[0::2], at[1::2] = lo[order], hi[order]
-    out = np.empty(len(lo), a.dtype)
-    out[order] = np.minimum.reduceat(np.append(a, a.dtype.type(0)), at)[0::2]
+    near, far = order[~far[order]], order[far[order]]
+    padded = np.append(a, np.full(-len(a) % _BLOCK + 1, np.iinfo(a.dtype).max, a.dtype))
+    plain(padded, near, lo[near], hi[near])
+    if len(far):
+        blocks = padded[:-1].reshape(-1, _BLOCK).min(1)
+        plain(padded, far, lo[far], first[far] * _BLOCK)
+        plain(np.append(blocks, blocks[:1]), far, first[far], last[far])
+        plain(padded, far, last[far] * _BLOCK, hi[far])
     return out
 
 
-def collection(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray]:
+def collection(strings: list[np.ndarray], cap: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (in the strings, one after the other, each followed by its end) in suffix order, and the common prefix of each
-    suffix with the one before it, up to cap (at most 255). Ends order by string."""
+    suffix with the one before it, up to cap (at most 255). Strings are of unsigned symbols from 1 on; ends order by string."""
     count = len(strings)
     lens = np.array([len(s) for s in strings], np.int64)
     base = np.cumsum(lens + 1) - (lens + 1)
-    text = np.zeros(int((lens + 1).sum()), np.uint8)
-    for b, s in zip(base.tolist(), strings, strict=True):
-        text[b : b + len(s)] = np.frombuffer(s, np.uint8)
-    if len(text) and text.max() == 255:
-        raise ValueError("not UTF-8")
-    sym = text + np.uint8(1)
-    sym[base + lens] = 0
+    kind = strings[0].dtype if strings else np.dtype(np.uint8)
     # before[p]: the symbol before place p in its string; 0 at its start.
-    before = np.concatenate([[0], sym[:-1]]).astype(np.uint8)
-    before[base] = 0
+    before = np.zeros(int((lens + 1).sum()), kind)
+    for b, s in zip(base.tolist(), strings, strict=True):
+        before[b + 1 : b + 1 + len(s)] = s
     place = (base + lens).astype(np.int32)
     bwt, lcp = before[place], np.zeros(count, np.uint8)
-    head = np.arange(count)  # where the newest suffix of each unfinished string stands
-    head = head[bwt[head] > 0]
+    head = np.flatnonzero(bwt)  # where the newest suffix of each unfinished string stands
     while len(head):
         size = len(bwt)
         order = np.argsort(bwt, kind="stable")
@@ -71,10 +84,10 @@ def collection(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray]:
         to = count + r - ended  # place of each new suffix among all, new ones included
         by = np.argsort(to, kind="stable")
         head, r, to = head[by], r[by], to[by]
-        sym_of = bwt[head]
+        sym = bwt[head]
         # The neighbours under the same symbol, as places in the last round's order.
         left, right = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, size - 1)]
-        has_left, has_right = (r > ended) & (bwt[left] == sym_of), (r + 1 < size) & (bwt[right] == sym_of)
+        has_left, has_right = (r > ended) & (bwt[left] == sym), (r + 1 < size) & (bwt[right] == sym)
         new_lcp, next_lcp = np.zeros(len(r), np.int16), np.zeros(len(r), np.int16)
         new_lcp[has_left] = 1 + range_minima(lcp, left[has_left] + 1, head[has_left] + 1).astype(np.int16)
         next_lcp[has_right] = 1 + range_minima(lcp, head[has_right] + 1, right[has_right] + 1).astype(np.int16)
@@ -98,15 +111,32 @@ def collection(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated(strings: list[bytes], k: int) -> list[np.ndarray]:
     """For each string, whether the k bytes from each place on also stand elsewhere in the collection."""
-    place, lcp = collection(strings, k)
-    hit = lcp >= k
-    hit[:-1] |= lcp[1:] >= k
-    flag = np.zeros(sum(len(s) + 1 for s in strings), bool)
+    step = STEP if k % STEP == 0 else 1
+    lens = np.array([len(s) for s in strings], np.int64)
+    raw = np.frombuffer(b"".join(strings) + bytes(step), np.uint8)
+    code = np.zeros(len(raw) - step, np.uint32)
+    for i in range(step):
+        code = (code << np.uint32(8)) | raw[i : i + len(code)]
+    _, code = np.unique(code, return_inverse=True)
+    code = (code + 1).astype(np.uint8 if code.max(initial=0) < 255 else np.uint16 if code.max(initial=0) < 65535 else np.uint32)
+    columns, at = [], 0
+    for n in lens.tolist():
+        columns += [code[at + f : at + n - step + 1 : step] for f in range(step)]
+        at += n
+    place, lcp = collection(columns, k // step)
+    hit = lcp >= k // step
+    hit[:-1] |= lcp[1:] >= k // step
+    flag = np.zeros(sum(len(c) + 1 for c in columns), bool)
     flag[place[hit]] = True
     out, at = [], 0
-    for s in strings:
-        out.append(flag[at : at + max(0, len(s) - k + 1)])
-        at += len(s) + 1
+    for i, n in enumerate(lens.tolist()):
+        own = np.zeros(max(0, n - k + 1), bool)
+        for f in range(step):
+            c = len(columns[i * step + f])
+            part = own[f::step]
+            part[:] = flag[at : at + len(part)]
+            at += c + 1
+        out.append(own)
     return out
 
 
@@ -118,16 +148,16 @@ def judge(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("sha", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
 def _remove(k: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in _OUT]
-            for doc, sha, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for doc, tag, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 raw = (text.as_py() or "").encode()
-                if hashlib.sha256(raw).hexdigest() != sha:
+                if tag_of(raw) != tag:
                     continue
                 edge = np.zeros(len(raw) + 1, np.int64)
                 for r in runs.as_py():
@@ -137,14 +167,14 @@ def _remove(k: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]])))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                for c, v in zip(cols, (doc, sha, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None), strict=True):
+                for c, v in zip(cols, (doc, tag, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OUT, strict=True)], schema=_OUT)
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, k: int = 200, m: int = 24, texts: bool = False, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, k: int = 200, m: int = 64, texts: bool = False, id_col: str = "doc_id", text_col: str = "text", ws: Workspace | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; texts: with kept bytes, null where nothing went.
 
     k is at most 255; m: bytes of a minimiser, fewer than k.
@@ -154,9 +184,9 @@ def suffix_dedup(docs: DataFrame, k: int = 200, m: int = 24, texts: bool = False
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     r = Repeats(d, Bytes, k, m, "suffix", 1500, ws)
     runs = r.verdicts(judge, across_ids=False).where("(many is null and places > 1) or array_max(many)")
-    per_doc = r.ws.put(runs.groupBy("doc_id", "sha").agg(F.collect_list(F.struct("start", "n", "many")).alias("runs")), "per_doc")
-    hit = restrict(d.where("doc_id is not null"), "doc_id", per_doc, "doc_id").join(per_doc, "doc_id").select("doc_id", "sha", "text", "runs")
-    out = hit.mapInArrow(_remove(k, texts), "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["doc_id", "sha"])
-    base = r.base.select("doc_id", F.col("size").alias("n_bytes"), "sha").join(out, ["doc_id", "sha"], "left")
+    per_doc = r.ws.put(runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n", "many")).alias("runs")), "per_doc")
+    hit = restrict(d.where("doc_id is not null"), "doc_id", per_doc, "doc_id").join(per_doc, "doc_id").select("doc_id", "tag", "text", "runs")
+    out = hit.mapInArrow(_remove(k, texts), "doc_id long, tag int, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["doc_id", "tag"])
+    base = r.base.select("doc_id", F.col("size").alias("n_bytes"), "sha", "tag").join(out, ["doc_id", "tag"], "left")
     cols = ["doc_id", "n_bytes", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
     return base.select(*cols, *(["kept"] if texts else []))

@@ -7,7 +7,7 @@ import pytest
 from rillflow.llm import repeats
 from rillflow.llm.kernels import minimiser_runs, mix
 from rillflow.llm.substring_dedup import substring_dedup
-from rillflow.llm.suffix_dedup import collection, suffix_dedup
+from rillflow.llm.suffix_dedup import collection, range_minima, repeated, suffix_dedup
 
 
 def passages(seed, n, sep=" ", vocab=300):
@@ -77,8 +77,8 @@ def test_words_equal_brute_force(spark, monkeypatch, hot):
 def test_bytes_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT_STRINGS", hot)
     rows = [*enumerate(passages(2, 120)), *ODD]
-    got = sorted((tuple(r) for r in suffix_dedup(frame(spark, rows), k=30, m=8).collect()), key=str)
-    assert got == brute_bytes(rows, 30)
+    got = sorted((tuple(r) for r in suffix_dedup(frame(spark, rows), k=32, m=8).collect()), key=str)
+    assert got == brute_bytes(rows, 32)
 
 
 def test_empty_tables(spark):
@@ -90,10 +90,10 @@ def test_empty_tables(spark):
 def test_collection_is_a_suffix_array_with_common_prefixes():
     r = random.Random(3)
     strings = [bytes(r.choice(b"abc") for _ in range(r.randrange(30))) for _ in range(25)]
-    place, lcp = collection(strings, 9)
+    place, lcp = collection([np.frombuffer(s, np.uint8) for s in strings], 9)
     suffixes, at = [], 0
     for i, s in enumerate(strings):
-        suffixes += [([c + 1 for c in s[j:]] + [0, i], at + j) for j in range(len(s) + 1)]
+        suffixes += [([*s[j:], 0, i], at + j) for j in range(len(s) + 1)]
         at += len(s) + 1
     suffixes.sort()
     assert place.tolist() == [p for _, p in suffixes]
@@ -105,6 +105,24 @@ def test_collection_is_a_suffix_array_with_common_prefixes():
         assert lcp[i] == min(n, 9)
 
 
+@pytest.mark.parametrize("k", [8, 12, 7])
+def test_repeated_equals_brute_force(k):
+    r = random.Random(k)
+    strings = [bytes(r.choice(b"ab") for _ in range(r.randrange(90))) for _ in range(20)]
+    count = {}
+    for s in strings:
+        for i in range(len(s) - k + 1):
+            count[s[i : i + k]] = count.get(s[i : i + k], 0) + 1
+    assert [x.tolist() for x in repeated(strings, k)] == [[count[s[i : i + k]] > 1 for i in range(len(s) - k + 1)] for s in strings]
+
+
+def test_range_minima():
+    a = np.random.default_rng(1).integers(0, 250, 1000).astype(np.uint8)
+    lo = np.random.default_rng(2).integers(0, 1000, 400)
+    hi = np.minimum(1000, lo + 1 + np.random.default_rng(3).integers(0, 500, 400))
+    assert range_minima(a, lo, hi).tolist() == [a[i:j].min() for i, j in zip(lo, hi, strict=True)]
+
+
 def test_runs_cover_every_window_once_and_equal_windows_share_minimisers():
     r = random.Random(5)
     sym = mix(np.array([r.randrange(6) for _ in range(600)], np.uint64))
