@@ -270,8 +270,8 @@ def links(docs: DataFrame, k: int, measure: Measure, ws: Workspace) -> tuple[Dat
     keys = unique.mapInArrow(_keys(k, measure, boundary, bands), "key long, doc_id long, n int, s byte")
     keys = ws.put(keys, "keys", "lz4")
     shared = keys.groupBy("key", "s").agg(F.min(F.struct("n", "doc_id")).alias("p"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
-    lists = shared.select("key", "s", F.col("p.n").alias("np"), F.col("p.doc_id").alias("pivot"))
-    found = keys.join(lists, ["key", "s"]).where("doc_id <> pivot").select("pivot", "np", F.col("doc_id").alias("member"), "n", F.col("s").cast("int").alias("s"))
+    lists = ws.put(shared.select("key", "s", F.col("p.n").alias("np"), F.col("p.doc_id").alias("pivot")), "lists", "lz4")
+    found = restrict(keys, "key", lists, "key").join(lists, ["key", "s"]).where("doc_id <> pivot").select("pivot", "np", F.col("doc_id").alias("member"), "n", F.col("s").cast("int").alias("s"))
     found = ws.put(found.groupBy("pivot", "member").agg(F.max(F.when((F.col("s") > 0) & ((F.col("np") + F.col("n")) * measure.num <= F.col("s") * (measure.num + measure.den)), 1).otherwise(0)).alias("light"), F.max(F.when(F.col("s") == 0, 1).otherwise(0)).alias("listed")), "found")
     ws.drop("keys")
     light = found.where("light = 1").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
