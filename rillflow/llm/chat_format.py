@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 # The template's control strings.
 BOS, EOS, INST, END_INST, ROLE, END_ROLE = "<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]"
 PLACEHOLDER = r"<\|(?:image|audio|document):\d+\|>"
@@ -146,6 +148,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     parts_col: a column of PARTS; else each turn is one text part of text_col.
     """
+    ship(turns.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")) if parts_col is None else None
     parts: Column = F.col(parts_col).cast(PARTS) if parts_col else F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), *(F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "long"), ("height", "long"), ("seconds", "double"), ("pages", "long")))))
     d = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), parts.alias("parts"), F.col(turn_col).alias("turn"))

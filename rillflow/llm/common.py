@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,6 +31,7 @@ class Workspace:
     """Intermediate tables under the shared folder; every one is Parquet, so a lost executor loses none of it."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:

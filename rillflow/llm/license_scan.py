@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 # Public notices, by SPDX identifier.
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -160,5 +162,6 @@ def _scan(templates: dict[str, str], coverage: float) -> Callable[[Iterator[pa.R
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its best notice (null if none), coverage, place, and all notices found. One narrow pass."""
+    ship(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return d.mapInArrow(_scan(templates or NOTICES, coverage), _ROW)

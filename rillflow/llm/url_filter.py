@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import LOWER, UPPER
 
 SUFFIX_BINS = 4096
@@ -186,6 +187,7 @@ def fit(urls: DataFrame, sample: int = 20_000, boosting: Boosting = Boosting())
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", sample: int = 20_000, boosting: Boosting = Boosting()) -> DataFrame:
     """page_id, host, path, rule (null if none), verdict, block_score of every URL. Only the URL column is read."""
+    ship(pages.sparkSession)
     urls = labelled(pages, rules, id_col, url_col)
     model, rates, seen = fit(urls, sample, boosting)
     out = "page_id long, host string, path string, rule string, verdict string, block_score double"
