@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .plans import event_queries
+
+MODULES = [event_queries]
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return event_queries.flagship(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: fn for m in MODULES for name, (fn, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql is not None}
