@@ -312,7 +312,7 @@ def lineitem_currency_flow(spark, d):
 
 _V = f"{with_views('versions')}, fv as (select event_id, min(version) as first_version, arg_min(fingerprint, version) as fingerprint from versions group by 1), ob as (select event_id, first_version, fingerprint, sha256(first_version || '|features|' || event_id || '|' || fingerprint) as ready_event_id, row_number() over (partition by first_version order by event_id) - 1 as position from fv)"
 _ACK = "ak as (select * from ob where event_id % 7 <> 3)"
-_DEL = "dl as (select ready_event_id, event_id, cast(event_id % 3 as integer) as "partition", event_id as "offset", 'p' as payload from ak union all select ready_event_id, event_id, cast(event_id % 3 as integer), event_id + 1000000000, case when event_id % 77 = 0 then 'q' else 'p' end from ak where event_id % 11 = 0)"
+_DEL = """dl as (select ready_event_id, event_id, cast(event_id % 3 as integer) as "partition", event_id as "offset", 'p' as payload from ak union all select ready_event_id, event_id, cast(event_id % 3 as integer), event_id + 1000000000, case when event_id % 77 = 0 then 'q' else 'p' end from ak where event_id % 11 = 0)"""
 _PLAN = "rp as (select event_id, sha256('candidate-1|' || event_id) as request_id, row_number() over (order by ingestion_us, event_id) - 1 as replay_sequence from predictions{})"
 _VALUES = lambda rows: ", ".join("(" + ", ".join("'" + v + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
 
@@ -327,7 +327,7 @@ QUERIES = {
     "outbox_contiguity": (outbox_contiguity, f"{_V}, g as (select version, version - lag(version) over (order by version) as step from (select distinct version from versions)) select (select count(*) from g) as segments, (select count(*) from g where step <> 2) as gaps, count(*) as events, count(*) - count(distinct ready_event_id) as repeated_ids from ob"),
     "ready_envelopes": (ready_envelopes, f"""{_V}, j as (select ready_event_id, '{{"availability_contract_version":"feature-ready-v1","availability_state":"READY","event_id":"' || event_id || '","first_visible_delta_version":' || first_version || ',"ready_event_id":"' || ready_event_id || '","source_delta_table_id":"features","source_feature_row_fingerprint":"' || fingerprint || '"}}' as json from ob) select ready_event_id, json, cast(strlen(json) + 1 as bigint) as bytes from j"""),
     "publish_pending": (publish_pending, f"{_V} select ready_event_id, event_id, first_version from ob where event_id % 7 = 3 order by first_version, event_id limit 100"),
-    "receipts": (receipts, f"{_V}, {_ACK}, {_DEL} select ready_event_id, arg_min("partition", "offset") as "partition", min("offset") as "offset", count(*) as deliveries, count(*) - 1 as duplicates, count(distinct payload) = 1 as consistent from dl group by 1"),
+    "receipts": (receipts, f"""{_V}, {_ACK}, {_DEL} select ready_event_id, arg_min("partition", "offset") as "partition", min("offset") as "offset", count(*) as deliveries, count(*) - 1 as duplicates, count(distinct payload) = 1 as consistent from dl group by 1"""),
     "transport_reconcile": (transport_reconcile, f"""{_V}, {_ACK}, {_DEL}, rc as (select ready_event_id, count(*) as n from dl where event_id % 13 <> 5 group by 1) select count(*) as prepared, count(ak.event_id) as acknowledged, count(n) as received, cast(sum(n) as bigint) as physical, cast(sum(n) - count(n) as bigint) as duplicates,
  count(case when ak.event_id is null then 1 end) as unacknowledged, count(case when ak.event_id is not null and n is null then 1 end) as unreceived, cast(0 as bigint) as unexpected from ob left join ak using (ready_event_id) left join rc using (ready_event_id)"""),
     "offset_acceptance": (offset_acceptance, f"""{with_views()}, l as (select 0 as part, event_id as off from tx where event_id % 999 <> 500), u as (select * from l union all select 1, off from l where off < 300) select part as "partition", min(off) as first_offset, max(off) as last_offset, count(distinct off) as offsets, max(off) - min(off) + 1 = count(distinct off) as contiguous from u group by 1"""),
