@@ -28,6 +28,8 @@ from .kernels import TO_LOWER, slices, word_digests, word_spans
 
 DOMAINS = ("good", "low", "toxic")
 DIM_BITS = 15
+#: Documents that a task of an iteration sums.
+ROWS_A_TASK = 100_000
 
 
 def domain_of(quality, toxic):
@@ -144,12 +146,14 @@ def _totals(history: np.ndarray, step: float, max_rate: float) -> Callable[[Iter
     return run
 
 
-def solve(scores: DataFrame, targets: dict[str, float], relative: bool, budget: float, max_rate: float, iterations: int = 30, tolerance: float = 1e-4) -> tuple[np.ndarray, float, list[list[float]]]:
+def solve(scores: DataFrame, targets: dict[str, float], relative: bool, budget: float, max_rate: float, iterations: int = 30, tolerance: float = 1e-4, ws: Workspace | None = None) -> tuple[np.ndarray, float, list[list[float]]]:
     """History of residuals and the step. Each iteration sums K numbers over the tasks."""
     k = len(DOMAINS)
     history, step, trace = np.zeros((0, k)), 0.0, []
     b = np.zeros(k)
     compact = scores.select("n_tokens", *_P)
+    if ws is not None:  # the iterations read a table of fewer and larger files
+        compact = ws.put(compact.coalesce(1 + scores.count() // ROWS_A_TASK), "compact")
     for i in range(iterations + 1):
         out = compact.mapInArrow(_totals(history, step, max_rate), "e array<double>, g array<double>")
         row = out.agg(*[F.sum(F.get("e", F.lit(c))).alias(f"e{c}") for c in range(k)], *[F.sum(F.get("g", F.lit(c))).alias(f"g{c}") for c in range(k * k)]).first()
@@ -205,7 +209,7 @@ def mix_sources(
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     theta = fit(d, labels, sample)
     scores = ws.put(d.mapInArrow(_posteriors(theta), _SCORES), "scores")
-    history, step, _ = solve(scores, targets, relative, budget, max_rate, iterations)
+    history, step, _ = solve(scores, targets, relative, budget, max_rate, iterations, ws=ws)
     out = scores.mapInArrow(_rate(history, step, max_rate), _SCORES + ", rate double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("copies", F.floor(F.col("rate") + F.coalesce(draw, F.lit(0.0))).cast("long"))
