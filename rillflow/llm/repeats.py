@@ -138,10 +138,44 @@ def _windows(unit, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        firsts = [np.array(x, "<i8") for x in batch.column(2).to_pylist()]
+        many = [np.array(x, bool) for x in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *verdict(firsts, many)], names=["mh", "dg", "lo", "firsts", "any", "many"])
+
+
+def verdict(firsts: list[np.ndarray] | None, many: list[np.ndarray]) -> list[pa.Array]:
+    """Columns lo, firsts, any, many of JUDGED from arrays by window."""
+    if firsts is None:
+        lo, packed = pa.nulls(len(many), pa.int64()), pa.nulls(len(many), pa.binary())
+    else:
+        lo, packed = pa.array([int(x.min()) for x in firsts], pa.int64()), pa.array([x.astype("<i8").tobytes() for x in firsts], pa.binary())
+    return [lo, packed, pa.array([bool(x.any()) for x in many], pa.bool_()), pa.array([np.packbits(x).tobytes() for x in many], pa.binary())]
+
+
+#: A string's windows: the smallest id at which each starts (packed, and the least of them), and whether it starts at two
+#: places or more (packed bits, and whether any does).
+JUDGED = "mh long, dg long, lo long, firsts binary, any boolean, many binary"
+
+
+def edges(runs: pa.StructArray, size: int, k: int, starts: Callable[[dict], np.ndarray]) -> np.ndarray:
+    """Which of size symbols lie in a removed window. runs: (start, n, ...); those without a verdict are removed whole,
+    starts() gives the removed windows of the others."""
+    start, n = runs.field("start").to_numpy(zero_copy_only=False), runs.field("n").to_numpy(zero_copy_only=False)
+    whole = runs.field("many").is_null().to_numpy(zero_copy_only=False)
+    lo, hi = [start[whole].astype(np.int64)], [(start[whole] + n[whole] - 1 + k).astype(np.int64)]
+    for i in np.flatnonzero(~whole).tolist():
+        at = int(start[i]) + starts(runs[i], int(n[i]))
+        lo.append(at)
+        hi.append(at + k)
+    lo, hi = np.concatenate(lo), np.concatenate(hi)
+    return np.cumsum((np.bincount(lo, minlength=size + 1) - np.bincount(hi, minlength=size + 1))[:-1]) > 0
+
+
 class Repeats:
-    """The stages above for texts (doc_id, text). judge(k) makes a function for applyInPandas over a bucket's strings
-    (mh, dg, first, places, n, s), which returns (mh, dg, firsts): for each window, the smallest id at which it starts and
-    in firsts' twin `many` whether it starts at two places or more."""
+    """The stages above for texts (doc_id, text). judge(k) makes a function for applyInArrow over a bucket's strings
+    (mh, dg, first, places, n, s), which returns JUDGED."""
 
     def __init__(self, docs: DataFrame, unit, k: int, m: int, name: str, bucket_strings: int, ws: Workspace | None = None):
         self.docs, self.unit, self.k, self.m, self.bucket_strings = docs, unit, k, m, bucket_strings
@@ -149,7 +183,7 @@ class Repeats:
         self.base = self.ws.put(docs.mapInArrow(_runs(unit, k, m), BASE), "base")
 
     def verdicts(self, judge: Callable, across_ids: bool) -> DataFrame:
-        """(doc_id, tag, start, n, first, places, firsts, many) of every run whose minimiser occurs again.
+        """(doc_id, tag, start, n, first, places, lo, firsts, any, many) of every run whose minimiser occurs again.
 
         across_ids: only minimisers of several ids matter. Rows with a null id take no part.
         """
@@ -162,7 +196,7 @@ class Repeats:
         again = self.ws.put(restrict(runs, "mh", shared, "mh").join(shared, "mh"), "again", "lz4")
         strings = again.groupBy("mh", "dg").agg(F.min("doc_id").alias("first"), F.count("*").alias("places"), F.min(F.struct("doc_id", "tag", "start", "n")).alias("at"))
         strings = self.ws.put(strings.select("mh", "dg", "first", "places", "at.doc_id", "at.tag", "at.start", "at.n"), "strings")
-        several = strings.groupBy("mh").agg(F.count("*").alias("c")).where("c > 1")
+        several = strings.groupBy("mh").agg(F.count("*").alias("c"), F.max("n").alias("longest")).where("c > 1")
         want = self.ws.put(strings.join(several, "mh"), "want")
         per_doc = want.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("mh", "dg", "start", "n", "first", "places")).alias("want"))
         texts = restrict(self.docs.where("doc_id is not null"), "doc_id", want, "doc_id").join(per_doc, "doc_id").select("text", "tag", "want")
@@ -170,20 +204,21 @@ class Repeats:
         # A repeated row gives its strings twice; one is enough.
         cut = self.ws.put(cut.dropDuplicates(["mh", "dg"]) if self.has_repeats() else cut, "cut")
         crowd = several.where(f"c > {HOT_STRINGS}").select("mh")
-        calm = cut.join(crowd, "mh", "left_anti")
+        calm = cut.join(several.where(f"c <= {HOT_STRINGS}").select("mh", F.least(F.floor(F.col("longest") / 16), F.lit(31)).cast("int").alias("class")), "mh")
         hot = cut.join(crowd, "mh", "left_semi")
-        n = calm.count()
-        buckets = max(1, -(-n // self.bucket_strings))
-        out = "mh long, dg long, firsts array<long>, many array<boolean>"
-        judged = calm.withColumn("bucket", F.pmod(F.xxhash64("mh"), F.lit(buckets))).groupBy("bucket").applyInPandas(judge(self.k), out)
+        # Buckets of strings of like length, so a bucket's rounds end together; at most 32 classes.
+        calm = self.ws.put(calm, "calm")
+        sizes = {r["class"]: max(1, -(-r["count"] // self.bucket_strings)) for r in calm.groupBy("class").count().collect()} or {0: 1}
+        buckets = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("class"))
+        judged = calm.withColumn("bucket", F.pmod(F.xxhash64("mh"), buckets)).groupBy("class", "bucket").applyInArrow(judge(self.k), JUDGED)
         if hot.limit(1).count():
             win = self.ws.put(hot.mapInArrow(_windows(self.unit, self.k), "mh long, dg long, i int, first long, places long, w binary"), "windows")
             each = win.groupBy("mh", "w").agg(F.min("first").alias("lo"), F.sum("places").alias("c"))
             single = win.join(each, ["mh", "w"]).groupBy("mh", "dg").agg(F.array_sort(F.collect_list(F.struct("i", "lo", (F.col("c") > 1).alias("many")))).alias("x"))
-            judged = judged.unionByName(single.select("mh", "dg", F.transform("x", lambda x: x["lo"]).alias("firsts"), F.transform("x", lambda x: x["many"]).alias("many")))
+            judged = judged.unionByName(single.select("mh", "dg", F.transform("x", lambda x: x["lo"]).alias("firsts"), F.transform("x", lambda x: x["many"]).alias("many")).mapInArrow(_pack, JUDGED))
         judged = self.ws.put(judged, "judged")
         known = strings.select("mh", "dg", "first", "places").join(judged, ["mh", "dg"], "left")
-        return again.join(known, ["mh", "dg"]).select("doc_id", "tag", "start", "n", "first", "places", "firsts", "many")
+        return again.join(known, ["mh", "dg"]).select("doc_id", "tag", "start", "n", "first", "places", "lo", "firsts", "any", "many")
 
     def has_repeats(self) -> bool:
         r = self.base.where("doc_id is not null").groupBy("doc_id", "tag").count().where("count > 1").limit(1).count()

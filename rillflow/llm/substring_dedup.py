@@ -14,37 +14,35 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, restrict
-from .repeats import Repeats, Words, tag_of
+from .repeats import Repeats, Words, edges, tag_of, verdict
 
 
-def judge(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+def judge(k: int) -> Callable[[pa.Table], pa.Table]:
+    def run(g: pa.Table) -> pa.Table:
         windows, size = [], []
-        for at, (mh, n, s) in enumerate(zip(g["mh"], g["n"], g["s"], strict=True)):
-            ends = [-1, *(i for i, c in enumerate(s) if c == 32), len(s)]
+        for at, (mh, n, s) in enumerate(zip(g["mh"].to_pylist(), g["n"].to_pylist(), g["s"].to_pylist(), strict=True)):
+            ends = [-1, *np.flatnonzero(np.frombuffer(s, np.uint8) == 32).tolist(), len(s)]
             windows += [(mh, s[ends[i] + 1 : ends[i + k]], at, i) for i in range(n)]
             size.append(n)
         windows.sort()
         firsts = [np.zeros(n, np.int64) for n in size]
         many = [np.zeros(n, bool) for n in size]
-        first, places = g["first"].to_numpy(np.int64), g["places"].to_numpy(np.int64)
+        first, places = g["first"].to_pylist(), g["places"].to_pylist()
         i = 0
         while i < len(windows):
             j, key = i, windows[i][:2]
             while j < len(windows) and windows[j][:2] == key:
                 j += 1
-            own = [w[2] for w in windows[i:j]]
-            lo, more = int(first[own].min()), bool(places[own].sum() > 1)
+            lo, more = min(first[w[2]] for w in windows[i:j]), sum(places[w[2]] for w in windows[i:j]) > 1
             for _, _, at, p in windows[i:j]:
                 firsts[at][p], many[at][p] = lo, more
             i = j
-        return pd.DataFrame({"mh": g["mh"].to_numpy(), "dg": g["dg"].to_numpy(), "firsts": firsts, "many": many})
+        return pa.Table.from_arrays([g["mh"], g["dg"], *verdict(firsts, many)], names=["mh", "dg", "lo", "firsts", "any", "many"])
 
     return run
 
@@ -52,17 +50,6 @@ def judge(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 _OUT = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
-def covered(size: int, runs: list[dict], k: int, doc_id: int) -> np.ndarray:
-    """Which of a document's symbols lie in a window that starts under a smaller id."""
-    edge = np.zeros(size + 1, np.int64)
-    for r in runs:
-        firsts = r["firsts"] if r["firsts"] is not None else [r["first"]] * r["n"]
-        start = r["start"] + np.flatnonzero(np.array(firsts) < doc_id)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + k, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
 def _remove(k: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,7 +58,7 @@ def _remove(k: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 words = (text.as_py() or "").encode().split()
                 if tag_of(b" ".join(words)) != tag:
                     continue
-                gone = covered(len(words), runs.as_py(), k, doc)
+                gone = edges(runs.values, len(words), k, lambda r, n, d=doc: np.flatnonzero(np.frombuffer(r["firsts"].as_buffer(), "<i8") < d))
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
                 for c, v in zip(cols, (doc, tag, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None), strict=True):
                     c.append(v)
@@ -87,8 +74,8 @@ def substring_dedup(docs: DataFrame, k: int = 50, m: int = 12, texts: bool = Fal
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     r = Repeats(d, Words, k, m, "substring", 20_000, ws)
-    runs = r.verdicts(judge, across_ids=True).where("first < doc_id or array_min(firsts) < doc_id")
-    per_doc = r.ws.put(runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n", "first", "firsts")).alias("runs")), "per_doc")
+    runs = r.verdicts(judge, across_ids=True).where("coalesce(lo, first) < doc_id")
+    per_doc = r.ws.put(runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n", "firsts", "many")).alias("runs")), "per_doc")
     hit = restrict(d.where("doc_id is not null"), "doc_id", per_doc, "doc_id").join(per_doc, "doc_id").select("doc_id", "tag", "text", "runs")
     out = hit.mapInArrow(_remove(k, texts), "doc_id long, tag int, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id", "tag"])
     base = r.base.select("doc_id", F.col("size").alias("n_words"), "sha", "tag").join(out, ["doc_id", "tag"], "left")

@@ -20,13 +20,12 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, restrict
-from .repeats import Bytes, Repeats, tag_of
+from .repeats import Bytes, Repeats, edges, tag_of, verdict
 
 
 #: Bytes of a symbol. A string is four columns' strings, one for each phase, so suffixes start at every byte.
@@ -140,10 +139,10 @@ def repeated(strings: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def judge(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        many = [x | (p > 1) for x, p in zip(repeated(list(g["s"]), k), g["places"], strict=True)]
-        return pd.DataFrame({"mh": g["mh"].to_numpy(), "dg": g["dg"].to_numpy(), "firsts": None, "many": many})
+def judge(k: int) -> Callable[[pa.Table], pa.Table]:
+    def run(g: pa.Table) -> pa.Table:
+        many = [x | (p > 1) for x, p in zip(repeated(g["s"].to_pylist(), k), g["places"].to_pylist(), strict=True)]
+        return pa.Table.from_arrays([g["mh"], g["dg"], *verdict(None, many)], names=["mh", "dg", "lo", "firsts", "any", "many"])
 
     return run
 
@@ -159,12 +158,7 @@ def _remove(k: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 raw = (text.as_py() or "").encode()
                 if tag_of(raw) != tag:
                     continue
-                edge = np.zeros(len(raw) + 1, np.int64)
-                for r in runs.as_py():
-                    start = r["start"] + (np.arange(r["n"]) if r["many"] is None else np.flatnonzero(r["many"]))
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + k, -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                gone = edges(runs.values, len(raw), k, lambda r, n: np.flatnonzero(np.unpackbits(np.frombuffer(r["many"].as_buffer(), np.uint8), count=n)))
                 spans = int(np.count_nonzero(gone & ~np.concatenate([[False], gone[:-1]])))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 for c, v in zip(cols, (doc, tag, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None), strict=True):
@@ -183,7 +177,7 @@ def suffix_dedup(docs: DataFrame, k: int = 200, m: int = 64, texts: bool = False
         raise ValueError("k is 2 to 255")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     r = Repeats(d, Bytes, k, m, "suffix", 1500, ws)
-    runs = r.verdicts(judge, across_ids=False).where("(many is null and places > 1) or array_max(many)")
+    runs = r.verdicts(judge, across_ids=False).where("coalesce(any, places > 1)")
     per_doc = r.ws.put(runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n", "many")).alias("runs")), "per_doc")
     hit = restrict(d.where("doc_id is not null"), "doc_id", per_doc, "doc_id").join(per_doc, "doc_id").select("doc_id", "tag", "text", "runs")
     out = hit.mapInArrow(_remove(k, texts), "doc_id long, tag int, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["doc_id", "tag"])
