@@ -124,5 +124,35 @@ from s join v using (host)
 """
 
 
+_OP1 = f"""
+with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from t),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 90 * (x.n + y.n - o)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id as node, doc_id as other from documents union select r.node, e.b from r join e on e.a = r.other)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from documents d left join n using (doc_id) join (select node as doc_id, min(other) as component_id from r group by 1) c using (doc_id)
+"""
+
+_OP4 = f"""
+with t as (select doc_id, {_WORDS} as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from t)),
+f as (select g, min(doc_id) as first from win group by 1),
+cov as (select distinct doc_id, unnest(range(i, i + 50)) as i from win join f using (g) where first < doc_id),
+x as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from t),
+k as (select x.doc_id, string_agg(word, ' ' order by x.i) as kept from x anti join cov on cov.doc_id = x.doc_id and cov.i = x.i group by 1),
+c as (select doc_id, count(*) as n_removed from cov group by 1)
+select t.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from t left join c using (doc_id) left join k using (doc_id)
+"""
+
+_OP5 = """
+with a as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+b as (select *, length(regexp_replace(text, '(\\\\|<s>|</s>|\\[/?INST\\]|\\[/?ROLE\\]|<\\|(?:image|audio|document):[0-9]+\\|>)', '!\\1', 'g')) as n from a)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+ sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, sum(n + case role when 'user' then 18 when 'assistant' then 6 else 24 + length(role) end)::bigint as formatted_chars, 0::bigint as attachment_tokens from b group by 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op3_quality_rules": _OP3}
+    return {"op1_ngram_jaccard_join": _OP1, "op2_exact_dedup": _OP2, "op3_quality_rules": _OP3, "op4_substring_dedup": _OP4, "op5_chat_formatting": _OP5}
