@@ -73,7 +73,7 @@ def substring_dedup(docs: DataFrame, k: int = 50, m: int = 12, texts: bool = Fal
     m: words of a minimiser, fewer than k.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    r = Repeats(d, Words, k, m, "substring", 20_000, ws)
+    r = Repeats(d, Words, k, m, "substring", 5_000, ws)
     runs = r.verdicts(judge, across_ids=True).where("coalesce(lo, first) < doc_id")
     per_doc = r.ws.put(runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n", "firsts", "many")).alias("runs")), "per_doc")
     hit = restrict(d.where("doc_id is not null"), "doc_id", per_doc, "doc_id").join(per_doc, "doc_id").select("doc_id", "tag", "text", "runs")
