@@ -155,6 +155,42 @@ def publication_gate(batches: DataFrame, backlog: int, limit: int) -> DataFrame:
     return batches.withColumn("decision", why)
 
 
+def require_at_most(df: DataFrame, limit: int, what: str) -> DataFrame:
+    """df, if it has no more than limit rows: a cap that fails instead of cutting. At most limit + 1 rows are looked at."""
+    n = df.limit(limit + 1).count()
+    if n > limit:
+        raise ValueError(f"more than {limit} {what}")
+    return df
+
+
+def export_check(envelopes: DataFrame, by: str, max_events: int = 5000, max_bytes: int = 4096) -> DataFrame:
+    """Per batch: events, bytes of the largest line, and whether it may be exported."""
+    g = envelopes.groupBy(by).agg(F.count("*").alias("events"), F.max("bytes").alias("largest"))
+    return g.withColumn("exportable", (F.col("events") <= max_events) & (F.col("largest") <= max_bytes))
+
+
+def fence_gaps(batches: DataFrame) -> DataFrame:
+    """batches (partition, batch, start_offset, end_offset): whether each starts where the one before ended, and how many
+    records lie between or twice."""
+    w = Window.partitionBy("partition").orderBy("batch")  # a row for each batch
+    gap = F.col("start_offset") - F.lag("end_offset").over(w)
+    return batches.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("fence", F.when(F.col("gap") == 0, "CONTIGUOUS").when(F.col("gap") > 0, "GAP").otherwise("OVERLAP"))
+
+
+def recovery_check(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: rows before and after a retry, and whether the tables are the same to the last row."""
+    from ..functions.canonical import table_digest
+
+    a, b = table_digest(before).withColumnsRenamed({"fingerprint": "fa", "rows": "rows_before"}), table_digest(after).withColumnsRenamed({"fingerprint": "fb", "rows": "rows_after"})
+    return a.crossJoin(b).select("rows_before", "rows_after", (F.col("fa") == F.col("fb")).alias("unchanged"))  # one row each
+
+
+def compare_counts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Counts by key of two observations side by side."""
+    x, y = a.groupBy(key).agg(F.count("*").alias("left_rows")), b.groupBy(key).agg(F.count("*").alias("right_rows"))
+    return x.join(y, key, "full_outer").na.fill(0, ["left_rows", "right_rows"]).withColumn("change", F.col("right_rows") - F.col("left_rows"))
+
+
 def closure(spark, edges: DataFrame, start: str, max_depth: int = 64) -> DataFrame:
     """Nodes reachable from start and their least depth; each round reads only the last round's nodes."""
     from ..sources.store import checkpointed

@@ -302,6 +302,31 @@ def wave_ranges(spark, d):
     return _tx(spark, d).groupBy("wave").agg(F.count("*").alias("events"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.min("event_us").alias("first_us"), F.max("event_us").alias("last_us"))
 
 
+def export_check(spark, d):
+    out = T.outbox(_versions(spark, d))
+    return T.export_check(T.ready_envelope(out).join(out.select("ready_event_id", "first_version"), "ready_event_id"), "first_version", 480, 4096)
+
+
+def fence_continuity(spark, d):
+    b = _tx(spark, d).groupBy(F.col("kafka_partition").alias("partition"), F.col("wave").alias("batch")).agg(F.min("kafka_offset").alias("start_offset"), (F.max("kafka_offset") + 1).alias("end_offset"))
+    return T.fence_gaps(b)
+
+
+def recovery_check(spark, d):
+    tx = _tx(spark, d).select("event_id", "customer_id", "amount")
+    return T.recovery_check(tx, tx.orderBy(F.desc("event_id")))
+
+
+def observation_compare(spark, d):
+    f = featured(spark, d)
+    return T.compare_counts(f.where("wave = 0"), f.where("wave = 2"), "statistical_feature_status")
+
+
+def delivery_caps(spark, d):
+    """A bounded delivery: the cap fails, it never cuts."""
+    return T.require_at_most(_versions(spark, d).where("version <= 4"), 5000, "ready events").groupBy("version").agg(F.count("*").alias("events"))
+
+
 def lineitem_currency_flow(spark, d):
     """Exact decimal flow by order month and segment over the largest table: scan, two joins, one aggregate."""
     li = E.read(spark, d, "lineitem").select("l_orderkey", (F.col("l_extendedprice").cast("decimal(18,4)")).alias("amount"), "l_returnflag")
@@ -368,5 +393,11 @@ QUERIES = {
     "corpus_manifest": (corpus_manifest, G.MANIFEST_SQL.format(n=3000, seed=7)),
     "corpus_profiles": (corpus_profiles, G.PROFILES_SQL.format(n=3000, seed=7)),
     "wave_ranges": (wave_ranges, f"{with_views()} select wave, count(*) as events, min(event_id) as first_id, max(event_id) as last_id, min(event_us) as first_us, max(event_us) as last_us from tx group by 1"),
+    "export_check": (export_check, f"{_V}, b as (select first_version, count(*) as events, max(cast(strlen('{{\"availability_contract_version\":\"feature-ready-v1\",\"availability_state\":\"READY\",\"event_id\":\"' || event_id || '\",\"first_visible_delta_version\":' || first_version || ',\"ready_event_id\":\"' || ready_event_id || '\",\"source_delta_table_id\":\"features\",\"source_feature_row_fingerprint\":\"' || fingerprint || '\"}}') + 1 as bigint)) as largest from ob group by 1) select *, events <= 480 and largest <= 4096 as exportable from b"),
+    "fence_continuity": (fence_continuity, f"""{with_views()}, b as (select kafka_partition as part, wave as batch, min(kafka_offset) as start_offset, max(kafka_offset) + 1 as end_offset from tx group by 1, 2), g as (select *, coalesce(start_offset - lag(end_offset) over (partition by part order by batch), 0) as gap from b)
+ select part as "partition", batch, start_offset, end_offset, gap, case when gap = 0 then 'CONTIGUOUS' when gap > 0 then 'GAP' else 'OVERLAP' end as fence from g"""),
+    "recovery_check": (recovery_check, f"{with_views()} select count(*) as rows_before, count(*) as rows_after, true as unchanged from tx"),
+    "observation_compare": (observation_compare, f"{_FEAT} select statistical_feature_status, count(case when wave = 0 then 1 end) as left_rows, count(case when wave = 2 then 1 end) as right_rows, count(case when wave = 2 then 1 end) - count(case when wave = 0 then 1 end) as change from stat where wave in (0, 2) group by 1"),
+    "delivery_caps": (delivery_caps, f"{with_views('versions')} select version, count(*) as events from versions where version <= 4 group by 1"),
     "lineitem_currency_flow": (lineitem_currency_flow, "select strftime(o_orderdate, '%Y-%m') as month, c_mktsegment, l_returnflag, count(*) as lines, cast(sum(cast(l_extendedprice as decimal(18,4))) as decimal(38,4)) as amount from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by 1, 2, 3"),
 }
