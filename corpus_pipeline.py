@@ -11,25 +11,33 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import Workspace, restrict
 
 
-def _row(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__row", F.monotonically_increasing_id())
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a digest of id and text: rows that have it in common are judged alike."""
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Texts are read, measured and written once, then filtered by host verdicts."""
+    """Documents that the quality rules keep: measured in one narrow pass, rejected ones left out in a second."""
     from rillflow.llm.quality_rules import judge, measure
 
-    measured = Workspace(spark, "pipeline-quality").put(measure(docs), "measured")
-    return judge(measured).where("kept").select(docs.columns)
+    ws = Workspace(spark, "pipeline-quality")
+    measured = ws.put(measure(_keyed(docs).select("__key", "source", "text"), "text", ["__key", "source"]), "measured")
+    rejected = ws.put(judge(measured).where("not kept").select("__key").distinct(), "rejected")
+    return _without(_keyed(docs), rejected, "__key").select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of equal texts: that of the smallest id, once even where the row itself is repeated."""
     from rillflow.llm.exact_dedup import exact_dedup
 
-    rows = Workspace(spark, "pipeline-exact").put(_row(docs), "rows")
-    dropped = exact_dedup(rows, row_col="__row").where("not kept").select(F.col("row").alias("__row"))
-    return _without(rows, dropped).select(docs.columns)
+    ws = Workspace(spark, "pipeline-exact")
+    found = ws.put(exact_dedup(_keyed(docs), row_col="__key", ws=ws), "found")
+    dropped = found.where("not kept").select(F.col("row").alias("__key")).distinct()
+    again = found.where("kept").groupBy(F.col("row").alias("__key")).count().where("count > 1").select("__key")
+    rows = _keyed(docs)
+    once = restrict(rows, "__key", again, "__key").join(again, "__key", "left_semi").dropDuplicates(["__key"])
+    out = _without(rows, dropped.unionByName(again), "__key").select(docs.columns)
+    return out.unionByName(once.select(docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +45,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from rillflow.llm.ngram_join import jaccard_components
 
     ws = Workspace(spark, "pipeline-near")
-    found = ws.put(jaccard_components(docs, k=5, num=80, den=100), "found")
+    inner = Workspace(spark, "pipeline-jaccard")
+    found = ws.put(jaccard_components(docs, k=5, num=80, den=100, ws=inner), "found")
+    inner.drop("")
     dropped = found.where("component_id < doc_id").select("doc_id").distinct()
     return _without(docs, dropped, "doc_id").select(docs.columns)
 
@@ -65,7 +75,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, Tokenizer(str(public_tokenizers.path("byte_bpe_50k.json"))), length=1024)
 
 
-def _without(docs: DataFrame, dropped: DataFrame, key: str = "__row") -> DataFrame:
+def _without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """docs without the dropped keys; rows that a bounded filter clears do not enter the join's shuffle."""
     maybe = restrict(docs, key, dropped, key)
     clear = restrict(docs, key, dropped, key, inside=False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,12 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        schema = df.schema
         df.write.option("compression", codec).mode("overwrite").parquet(self.path(name))
-        return self.get(name, df.schema)
+        del df
+        # Shuffle files go when the driver's JVM finds that nothing refers to them; the next step may need the disk.
+        self.spark._jvm.System.gc()
+        return self.get(name, schema)
 
     def get(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
@@ -57,6 +62,18 @@ def words_of(text):
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), lambda w: w != "")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows, for actions inside on rows of many kilobytes each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def ascii_lower(text):
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

@@ -9,9 +9,14 @@ links to the smallest set under a key connect all that any pair under it would.
 
 Heavy sets are found by scanning inverted lists. Linked sets differ in at most D shingles, so when shingles are dealt by
 hash over D + 1 + s segments, s + 1 segments at least agree; the lists are keyed by a segment's content (a segment of one
-shingle is the usual inverted list; more shingles keep lists of common shingles from being scanned at all). A set with at
-most s empty segments needs no list for these. Sizes fall in bands, each with its own D, and a set is listed in its own and,
-if a partner may be there, the next band.
+shingle is the usual inverted list; more shingles keep lists of common shingles from being scanned at all). A segment
+without a rare shingle is weak, and as that depends on its content alone, a set with at most s weak segments needs no list
+for these: of the segments it shares with any partner, one is not weak. Rarity is read off counts of all shingles in a
+table of fixed size. Sizes fall in bands, each with its own D, and a set is listed in its own and, if a partner may be
+there, the next band.
+
+Most lists have one member. A first pass sends only 32-bit pieces of the keys to find those that occur again, and marks them
+in a bitmap of fixed size; a second pass writes list entries only where the bitmap lets them through.
 
 The boundary between light and heavy is the size at which the cost of enumeration, summed over the sizes of all documents,
 is least against that of lists; light sets near it are also listed, for their heavy partners.
@@ -19,7 +24,9 @@ is least against that of lists; light sets near it are also listed, for their he
 Under each list the smallest set is the pivot. Members are joined with it and their exact difference from it is kept: equal
 to the pivot within the bound, they link. Two members that are not linked to the pivot differ from each other exactly where
 their differences from the pivot do, so the rest of a list is settled from differences alone, in blocks of bounded size,
-and only links that connect something new leave a task. No group's pairs are ever emitted.
+and only links that connect something new leave a task. Parities of the differences in SKETCH bits, which differ in no more
+bits than the sets in shingles, first set aside the members that no other can link to; only the others' differences are
+sent. No group's pairs are ever emitted.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; rows that repeat an id are one document
 that links where any of its texts does; a null id is never linked (its component is null); ties in size go to the smaller
@@ -39,11 +46,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, restrict
+from .common import Workspace, batches_of, components, restrict
 from .kernels import U, mix, shingle_sets, slices
 
 #: Sizes from which enumeration is not considered.
 MAX_LIGHT = 32
+#: Bits of the parity sketch of a difference.
+SKETCH = 1024
 #: Members of a block when the rest of a list is settled.
 BLOCK = 2000
 
@@ -72,7 +81,7 @@ class Measure:
             n = hi - 1
             worst = max(n + m - 2 * self.need(n, m) for m in range(max(1, -(-self.num * n // self.den)), n + 1))
             worst = max(worst, (self.den - self.num) * 2 * n // (self.num + self.den))
-            spare = 1 + worst // 64
+            spare = 1 + worst // 4
             out.append((lo, hi, worst + 1 + spare, spare))
             lo = hi
         return out
@@ -92,23 +101,50 @@ class Measure:
         return best
 
 
-_KEYS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+#: Shingles are counted in this many bins, kept in pieces of PIECE bins.
+FREQUENCY_BITS, PIECE = 20, 1 << 14
+#: Bits of the bitmap of keys that occur again.
+AGAIN_BITS = 26
+_PROFILE = "doc_id long, n int, d1 long, d2 long, piece int, counts binary"
+_PROFILE_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("piece", pa.int32()), ("counts", pa.binary())])
 
 
-def _sizes(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """doc_id, set size, and a 128-bit digest of the set."""
+def _profile(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each document its id, set size and a 128-bit digest of the set; then, for the task, counts of shingles by bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << FREQUENCY_BITS, np.int32)
         for batch in batches:
             for rows, data, off in slices(batch):
                 sh, so = shingle_sets(data, off, k)
                 c1, c2 = (np.concatenate([[U(0)], np.cumsum(mix(sh ^ U(x)))]) for x in (0x51ED27, 0xC2B2AE))
                 d1, d2 = (mix(c[so[1:]] - c[so[:-1]]).view(np.int64) for c in (c1, c2))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, rows.stop - rows.start), pa.array(np.diff(so), pa.int32()), pa.array(d1), pa.array(d2)], schema=_KEYS_ARROW)
+                total += np.bincount((sh >> U(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
+                m = len(so) - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, rows.stop - rows.start), pa.array(np.diff(so), pa.int32()), pa.array(d1), pa.array(d2), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=_PROFILE_ARROW)
+        if total.any():
+            pieces = total.reshape(-1, PIECE)
+            m = len(pieces)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array([-1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], schema=_PROFILE_ARROW)
 
     return run
 
 
+def _sum_counts(g: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in g["counts"].to_pylist())
+    return pa.Table.from_pydict({"piece": pa.array([g["piece"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def common_bins(profile: DataFrame) -> bytes:
+    """Packed bits of the bins that hold far more shingles than chance puts there: those of common shingles."""
+    rows = profile.where("n = -1").select("piece", "counts").groupBy("piece").applyInArrow(_sum_counts, "piece int, counts binary").collect()  # 2 ** FREQUENCY_BITS numbers
+    total = np.zeros((1 << FREQUENCY_BITS) // PIECE * PIECE, np.int64).reshape(-1, PIECE)
+    for r in rows:
+        total[r.piece] = np.frombuffer(bytes(r.counts), np.int64)
+    mean = total.mean()
+    return np.packbits(total.ravel() > mean + 6 * mean**0.5 + 2).tobytes()
+
+
 def light_keys(shingles: np.ndarray, measure: Measure) -> list[tuple[int, int]]:
     """(key, subset size) of every subset of a light set that a partner could share."""
     n = len(shingles)
@@ -122,7 +158,7 @@ def light_keys(shingles: np.ndarray, measure: Measure) -> list[tuple[int, int]]:
     return out
 
 
-def heavy_keys(sh: np.ndarray, so: np.ndarray, docs: np.ndarray, band: np.ndarray, bands: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def heavy_keys(sh: np.ndarray, rare: np.ndarray, so: np.ndarray, docs: np.ndarray, band: np.ndarray, bands: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Lists (keys) of documents docs in bands band (one entry for each pair): document numbers and keys."""
     if not len(docs):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -142,37 +178,113 @@ def heavy_keys(sh: np.ndarray, so: np.ndarray, docs: np.ndarray, band: np.ndarra
     count = np.bincount(seg, minlength=total)
     owner = np.repeat(np.arange(len(docs)), parts)
     place = np.arange(total) - first[owner]
-    empty = np.bincount(owner, count == 0, len(docs))
-    use = (count > 0) | (empty > spare)[owner]
+    firm = np.bincount(seg, rare[pick], total) > 0
+    weak, empty = np.bincount(owner, ~firm, len(docs)), np.bincount(owner, count == 0, len(docs))
+    use = firm | ((weak > spare)[owner] & ((count > 0) | (empty > spare)[owner]))
     key = mix(lo * U(0x9E3779B97F4A7C15) ^ mix(hi + U(0x1B873593)) ^ (count.astype(U) << U(40)) ^ mix(salt[owner] + place.astype(U)))
     return docs[owner[use]], key[use].view(np.int64)
 
 
-def _keys(k: int, measure: Measure, boundary: int, bands: list[tuple[int, int, int, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """doc_id, n, keys (packed) and, for light ones, subset sizes (packed bytes; 0: a list of heavy sets)."""
-    starts = np.array([b[0] for b in bands])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class Plan:
+    """What keys depend on, the same for every document."""
+
+    k: int
+    measure: Measure
+    boundary: int
+    bands: list[tuple[int, int, int, int]]
+    common: bytes
+
+    def slices(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, set sizes, document of each key, keys, subset sizes: 0 for a list of heavy sets)."""
+        starts = np.array([b[0] for b in self.bands])
+        common = np.unpackbits(np.frombuffer(self.common, np.uint8)).astype(bool)
         for batch in batches:
             for rows, data, off in slices(batch):
-                sh, so = shingle_sets(data, off, k)
+                sh, so = shingle_sets(data, off, self.k)
+                rare = ~common[(sh >> U(64 - FREQUENCY_BITS)).astype(np.int64)]
                 n = np.diff(so)
                 ids = batch.column(0).slice(rows.start, rows.stop - rows.start).to_numpy(zero_copy_only=False)
-                listed = np.flatnonzero((n > 0) & (n * measure.den >= boundary * measure.num))
+                listed = np.flatnonzero((n > 0) & (n * self.measure.den >= self.boundary * self.measure.num))
                 band = np.searchsorted(starts, n[listed], "right") - 1
                 # A partner in the next band has at most den * n / num shingles.
-                up = np.flatnonzero((band + 1 < len(bands)) & (measure.den * n[listed] >= measure.num * np.append(starts, 1 << 60)[band + 1]))
-                doc, key = heavy_keys(sh, so, np.concatenate([listed, listed[up]]), np.concatenate([band, band[up] + 1]), bands)
+                up = np.flatnonzero((band + 1 < len(starts)) & (self.measure.den * n[listed] >= self.measure.num * np.append(starts, 1 << 60)[band + 1]))
+                doc, key = heavy_keys(sh, rare, so, np.concatenate([listed, listed[up]]), np.concatenate([band, band[up] + 1]), self.bands)
                 size = np.zeros(len(doc), np.int8)
-                light = np.flatnonzero((n > 0) & (n < boundary))
+                light = np.flatnonzero((n > 0) & (n < self.boundary))
                 if len(light):
-                    found = [(d, *x) for d in light.tolist() for x in light_keys(sh[so[d] : so[d + 1]], measure)]
+                    found = [(d, *x) for d in light.tolist() for x in light_keys(sh[so[d] : so[d + 1]], self.measure)]
                     doc = np.concatenate([doc, np.array([x[0] for x in found], np.int64)])
                     key = np.concatenate([key, np.array([x[1] for x in found], np.int64)])
                     size = np.concatenate([size, np.array([x[2] for x in found], np.int8)])
-                for a in range(0, len(doc), 200_000):
-                    d = doc[a : a + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000]), pa.array(ids[d], pa.int64()), pa.array(n[d], pa.int32()), pa.array(size[a : a + 200_000])], names=["key", "doc_id", "n", "s"])
+                yield ids, n, doc, key, size
+
+
+def _pieces(plan: Plan, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(group, packed): a key's first bits are its group, the next 32 are packed; once for each task, twice if it repeats."""
+
+    def out(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        u, c = np.unique(np.concatenate(keys).view(U), return_counts=True)
+        u = np.sort(np.concatenate([u, u[c > 1]]))
+        group = (u >> U(64 - bits)).astype(np.int64)
+        piece = (u >> U(32 - bits)).astype(np.uint32)
+        at = np.searchsorted(group, np.arange((1 << bits) + 1))
+        some = np.flatnonzero(np.diff(at))
+        yield pa.RecordBatch.from_pydict({"g": pa.array(some, pa.int32()), "p": pa.array([piece[at[i] : at[i + 1]].tobytes() for i in some.tolist()], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held = [], 0
+        for _, _, _, key, _ in plan.slices(batches):
+            keys.append(key)
+            held += len(key)
+            if held > 4_000_000:
+                yield from out(keys)
+                keys, held = [], 0
+        if held:
+            yield from out(keys)
+
+    return run
+
+
+def _repeats(bits: int) -> Callable[[pa.Table], pa.Table]:
+    def run(g: pa.Table) -> pa.Table:
+        x = np.sort(np.concatenate([np.frombuffer(p, np.uint32) for p in g["p"].to_pylist()]))
+        again = x[1:][x[1:] == x[:-1]]
+        marks = np.zeros(1 << (AGAIN_BITS - bits), bool)
+        marks[again >> np.uint32(32 - (AGAIN_BITS - bits))] = True
+        return pa.Table.from_pydict({"g": pa.array([g["g"][0].as_py()], pa.int32()), "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+
+    return run
+
+
+def keys_again(docs: DataFrame, plan: Plan, total: int) -> bytes:
+    """Packed bits, by a key's first AGAIN_BITS bits, of keys that occur more than once. total: shingles in all sets.
+
+    Groups grow in number with the input, so that none needs more than tens of megabytes.
+    """
+    bits = 6
+    while bits < 16 and (total >> bits) > 8_000_000:
+        bits += 1
+    rows = docs.mapInArrow(_pieces(plan, bits), "g int, p binary").groupBy("g").applyInArrow(_repeats(bits), "g int, marks binary").collect()  # 2 ** AGAIN_BITS bits
+    size = (1 << (AGAIN_BITS - bits)) // 8
+    out = bytearray(size << bits)
+    for r in rows:
+        out[r.g * size : (r.g + 1) * size] = bytes(r.marks)
+    return bytes(out)
+
+
+def _keys(plan: Plan, again: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """key, doc_id, n, s of keys that the bitmap lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(again, np.uint8)
+        for ids, n, doc, key, size in plan.slices(batches):
+            at = (key.view(U) >> U(64 - AGAIN_BITS)).astype(np.int64)
+            keep = (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+            doc, key, size = doc[keep], key[keep], size[keep]
+            for a in range(0, len(doc), 200_000):
+                d = doc[a : a + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000]), pa.array(ids[d], pa.int64()), pa.array(n[d], pa.int32()), pa.array(size[a : a + 200_000])], names=["key", "doc_id", "n", "s"])
 
     return run
 
@@ -188,7 +300,7 @@ def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return run
 
 
-_DIFF = pa.schema([("pivot", pa.int64()), ("member", pa.int64()), ("n", pa.int32()), ("pset", pa.int64()), ("linked", pa.bool_()), ("diff", pa.binary())])
+_DIFF = pa.schema([("pivot", pa.int64()), ("member", pa.int64()), ("n", pa.int32()), ("pset", pa.int64()), ("linked", pa.bool_()), ("dn", pa.int32()), ("sk", pa.binary()), ("diff", pa.binary())])
 
 
 def _compare(measure: Measure) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -202,13 +314,56 @@ def _compare(measure: Measure) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 diff = np.setxor1d(x, y, assume_unique=True)
                 common = (len(x) + len(y) - len(diff)) // 2
                 linked = common >= measure.need(len(x), len(y))
-                for c, v in zip(cols, (pivot.as_py(), member.as_py(), len(y), int(mix(x).sum(dtype=U).view(np.int64)), linked, diff.tobytes()), strict=True):
+                parity = np.bincount((mix(diff) >> U(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+                for c, v in zip(cols, (pivot.as_py(), member.as_py(), len(y), int(mix(x).sum(dtype=U).view(np.int64)), linked, len(diff), np.packbits(parity.astype(bool)).tobytes(), diff.tobytes()), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _DIFF, strict=True)], schema=_DIFF)
 
     return run
 
 
+_CLOSE = "pivot long, pset long, member long, linked boolean"
+
+
+def _close(measure: Measure) -> Callable[[pa.Table], pa.Table]:
+    """Members that are not linked to their pivot and may be to another member, and these others."""
+
+    def run(g: pa.Table) -> pa.Table:
+        role = g["role"].to_numpy()
+        n, dn, member = (g[c].to_numpy().astype(np.int64) for c in ("n", "dn", "member"))
+        sk = np.frombuffer(b"".join(g["sk"].to_pylist()), U).reshape(-1, SKETCH // 64)
+        every = np.flatnonzero(role == 1)
+        near = np.zeros(len(role), bool)
+        for i in np.flatnonzero(role == 0).tolist():
+            both = n[i] + n[every]
+            bound = both - 2 * (-(-measure.num * both // (measure.num + measure.den)))
+            apart = np.maximum(np.bitwise_count(sk[every] ^ sk[i]).sum(1), np.abs(dn[every] - dn[i]))
+            hit = every[(apart <= bound) & (member[every] != member[i])]
+            if len(hit):
+                near[i] = True
+                near[hit] = True
+        keep = pa.array(np.flatnonzero(near))
+        return g.select(["pivot", "pset", "member", "linked"]).take(keep)
+
+    return run
+
+
+def blocks(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows (pivot, pset, member, linked, ...) dealt to blocks: all members of a block (role 1) and the loose ones of each
+    block against it (role 0). counts: pivot, pset, all, loose."""
+    sizes = counts.select("pivot", "pset", F.ceil(F.col("all") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("loose") / BLOCK).cast("int").alias("nu"))
+    cut, h = rows.join(sizes, ["pivot", "pset"]), F.xxhash64("member")
+    members = cut.select(*rows.columns, F.pmod(h, "nb").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("nu") - 1)).alias("ub"), F.lit(1).alias("role"))
+    loose = cut.where("not linked").select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("mb"), F.pmod(h, "nu").cast("int").alias("ub"), F.lit(0).alias("role"))
+    return members.unionByName(loose)
+
+
+def unsettled(rows: DataFrame) -> DataFrame:
+    """pivot, pset, all, loose of the lists that have a member that its pivot does not settle, and another."""
+    counts = rows.groupBy("pivot", "pset").agg(F.count("*").alias("all"), F.count(F.when(~F.col("linked"), 1)).alias("loose"))
+    return counts.where("loose > 0 and all > 1")
+
+
 def _settle(measure: Measure) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Links of the members that are not linked to their pivot, to one another and to the others, one for each new join."""
 
@@ -256,40 +411,38 @@ def _settle(measure: Measure) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 def links(docs: DataFrame, k: int, measure: Measure, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """(sizes, edges): every document's set size and class of equal sets, and edges that connect exactly what links connect."""
-    spark = docs.sparkSession
-    sizes = ws.put(docs.mapInArrow(_sizes(k), "doc_id long, n int, d1 long, d2 long"), "sizes")
+    profile = ws.put(docs.mapInArrow(_profile(k), _PROFILE), "profile")
+    sizes = profile.where("n >= 0").select("doc_id", "n", "d1", "d2")
     few = sizes.where(f"n < {MAX_LIGHT}").groupBy("n").count().collect()  # at most MAX_LIGHT rows
     boundary = measure.boundary({r.n: r["count"] for r in few})
-    top = sizes.agg(F.max("n")).first()[0] or 1
-    bands = measure.bands(top)
+    top, total = (x or 1 for x in sizes.agg(F.max("n"), F.sum("n")).first())
+    plan = Plan(k, measure, boundary, measure.bands(top), common_bins(profile))
     # Equal sets are one class: only its smallest document goes on.
     classes = sizes.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = ws.put(sizes.where("n > 0 and doc_id is not null").join(classes.where("copies > 1"), ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
     known = docs.where("doc_id is not null")
     unique = restrict(known, "doc_id", copies, "doc_id", inside=False).unionByName(restrict(known, "doc_id", copies, "doc_id").join(copies.select("doc_id").distinct(), "doc_id", "left_anti"))
-    keys = unique.mapInArrow(_keys(k, measure, boundary, bands), "key long, doc_id long, n int, s byte")
-    keys = ws.put(keys, "keys", "lz4")
-    shared = keys.groupBy("key", "s").agg(F.min(F.struct("n", "doc_id")).alias("p"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
-    lists = ws.put(shared.select("key", "s", F.col("p.n").alias("np"), F.col("p.doc_id").alias("pivot")), "lists", "lz4")
-    found = restrict(keys, "key", lists, "key").join(lists, ["key", "s"]).where("doc_id <> pivot").select("pivot", "np", F.col("doc_id").alias("member"), "n", F.col("s").cast("int").alias("s"))
+    keys = ws.put(unique.mapInArrow(_keys(plan, keys_again(unique, plan, total)), "key long, doc_id long, n int, s byte"), "keys", "lz4")
+    lists = keys.groupBy("key", "s").agg(F.min(F.struct("n", "doc_id")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    lists = ws.put(lists.select("key", "s", F.col("p.n").alias("np"), F.col("p.doc_id").alias("pivot")), "lists", "lz4")
+    found = keys.join(lists, ["key", "s"]).where("doc_id <> pivot").select("pivot", "np", F.col("doc_id").alias("member"), "n", F.col("s").cast("int").alias("s"))
     found = ws.put(found.groupBy("pivot", "member").agg(F.max(F.when((F.col("s") > 0) & ((F.col("np") + F.col("n")) * measure.num <= F.col("s") * (measure.num + measure.den)), 1).otherwise(0)).alias("light"), F.max(F.when(F.col("s") == 0, 1).otherwise(0)).alias("listed")), "found")
-    ws.drop("keys")
+    ws.drop("keys", "lists")
     light = found.where("light = 1").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
     pairs = found.where("listed = 1").select("pivot", "member")
     ids = ws.put(pairs.select(F.explode(F.array("pivot", "member")).alias("doc_id")).distinct(), "ids")
     sets = ws.put(restrict(known, "doc_id", ids, "doc_id").join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "sets", "lz4")
     both = pairs.join(sets.select(F.col("doc_id").alias("member"), F.col("shingles").alias("sm")), "member").join(sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("sp")), "pivot").select("pivot", "member", "sp", "sm")
-    diffs = ws.put(both.mapInArrow(_compare(measure), "pivot long, member long, n int, pset long, linked boolean, diff binary"), "diffs", "lz4")
+    with batches_of(docs.sparkSession, 500):
+        diffs = ws.put(both.mapInArrow(_compare(measure), "pivot long, member long, n int, pset long, linked boolean, dn int, sk binary, diff binary"), "diffs", "lz4")
     ws.drop("sets")
     near = diffs.where("linked").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
-    # Lists with members that their pivot does not settle, in blocks of members against blocks of these.
-    rest = diffs.groupBy("pivot", "pset").agg(F.count("*").alias("all"), F.count(F.when(~F.col("linked"), 1)).alias("loose")).where("loose > 0 and all > 1")
-    rest = rest.select("pivot", "pset", F.ceil(F.col("all") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("loose") / BLOCK).cast("int").alias("nu"))
-    cut = diffs.join(rest, ["pivot", "pset"])
-    h = F.xxhash64("member")
-    members = cut.select("pivot", "pset", "member", "n", "linked", "diff", F.pmod(h, "nb").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("nu") - 1)).alias("ub"), F.lit(1).alias("role"))
-    loose = cut.where("not linked").select("pivot", "pset", "member", "n", "linked", "diff", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("mb"), F.pmod(h, "nu").cast("int").alias("ub"), F.lit(0).alias("role"))
-    settled = members.unionByName(loose).groupBy("pivot", "pset", "ub", "mb").applyInPandas(_settle(measure), "a long, b long")
+    # Lists with members that their pivot does not settle, in blocks: by sketch, then those that are left by difference.
+    sketches = diffs.drop("diff")
+    close = blocks(sketches, unsettled(sketches)).groupBy("pivot", "pset", "ub", "mb").applyInArrow(_close(measure), _CLOSE)
+    close = ws.put(close.distinct(), "close")
+    left = diffs.select("pivot", "pset", "member", "n", "diff").join(close, ["pivot", "pset", "member"])
+    settled = blocks(left, unsettled(close)).groupBy("pivot", "pset", "ub", "mb").applyInPandas(_settle(measure), "a long, b long")
     edges = light.unionByName(near).unionByName(settled).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     return sizes, edges
 
