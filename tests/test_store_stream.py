@@ -63,6 +63,7 @@ def test_activity_lifecycle(spark, tmp_path):
     row = go().where("customer_id = 1 and state_event_count = 3").first()
     assert row.state_amount_total == 35 and row.batch_event_count == 1
     step((5, 3, 151, "9"))
+    assert go().where("lifecycle_type = 'EXPIRED'").count() == 2
     step((6, 1, 160, "3"))
     got = go()
     assert got.where("lifecycle_type = 'EXPIRED'").count() == 2
