@@ -3,9 +3,12 @@
 A softmax classifier over hashed words, fitted on at most `sample` labelled documents (chosen by a hash of their ids),
 gives every document's domain posterior p. Rates r, one for each document, between 0 and max_rate, minimise
     1/2 * sum_k ((sum_d r_d t_d p_dk - b_k) / T)^2,
-t being a document's words, T their sum and b the targets, by projected gradient in the metric of t. A step needs only the
-K expected totals, so the driver holds K numbers an iteration; tasks replay the short history of residuals instead of
-storing rates. A document's copies are its rate rounded by a hash of its id, so the expectation is exact.
+t being a document's words, T their sum and b the targets, by projected gradient in the metric of t. Steps are implicit (of
+the residual after the step, so they may be large and small domains do not lag): Newton over K numbers finds that residual,
+and a pass sums K totals, a Gram matrix and two sums for a proof of how far off the optimum is. Passes go on until the
+residual is within a tolerance of the least one; one that cannot be brought to zero is logged. Tasks replay the short history
+of residuals instead of storing rates. A document's copies are its rate rounded by a hash of its id, so the expectation is
+exact.
 
 Domains: good (quality 1, toxic 0), low (quality 0, toxic 0), toxic (toxic 1); labels with a null flag are ignored.
 
@@ -16,6 +19,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -132,46 +136,91 @@ def rates_of(p: np.ndarray, history: np.ndarray, step: float, max_rate: float) -
     return r
 
 
-def _totals(history: np.ndarray, step: float, max_rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _totals(history: np.ndarray, step: float, trial: np.ndarray, max_rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums over documents, with rates a trial step after those of history: words of each domain, the Gram matrix of the
+    documents that no bound holds, and the two sums of the step's and of the whole problem's dual."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(_P)
-        total, gram = np.zeros(k), np.zeros((k, k))
+        sums = np.zeros(k + k * k + 2)
         for batch in batches:
             p = np.stack([batch.column(c + 1).to_numpy(zero_copy_only=False) for c in range(k)], 1)
             t = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
-            total += (t * rates_of(p, history, step, max_rate)) @ p
-            gram += (p * t[:, None]).T @ p
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([gram.ravel().tolist()], pa.list_(pa.float64()))], names=["e", "g"])
+            r0 = rates_of(p, history, 1.0, max_rate)
+            slope = p @ trial
+            to = r0 - step * slope
+            r = np.clip(to, 0.0, max_rate)
+            free = t * ((to >= 0) & (to <= max_rate))
+            moved = (r - r0) ** 2 / (2 * step) if step else 0.0
+            sums += np.concatenate([(t * r) @ p, ((p * free[:, None]).T @ p).ravel(), [(t * (slope * r + moved)).sum(), (t * np.minimum(0.0, max_rate * slope)).sum()]])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["x"])
 
     return run
 
 
-def solve(scores: DataFrame, targets: dict[str, float], relative: bool, budget: float, max_rate: float, iterations: int = 30, tolerance: float = 1e-4, ws: Workspace | None = None) -> tuple[np.ndarray, float, list[list[float]]]:
-    """History of residuals and the step. Each iteration sums K numbers over the tasks."""
+#: The first implicit step, in units of 1 / the Gram matrix's largest eigenvalue, its growth and where that ends.
+FIRST_STEP, GROWTH, LARGEST_STEP = 100.0, 10.0, 1e6
+#: Trial residuals of one step, a pass each; the next step goes on from the last.
+TRIALS = 200
+log = logging.getLogger(__name__)
+
+
+def solve(scores: DataFrame, targets: dict[str, float], relative: bool, budget: float, max_rate: float, iterations: int = 300, tolerance: float = 1e-5, ws: Workspace | None = None) -> tuple[np.ndarray, float, list[list[float]]]:
+    """History of scaled residuals, the step for rates_of, and the residual of every pass, the last one's at the end.
+
+    Ends when the residual is within tolerance of zero or, where no rates meet the targets, of the least one (by the duality
+    gap: |e - e*|^2 <= 2 gap). Raises if that takes more than so many implicit steps.
+    """
     k = len(DOMAINS)
-    history, step, trace = np.zeros((0, k)), 0.0, []
-    b = np.zeros(k)
+    history, trace = np.zeros((0, k)), []
     compact = scores.select("n_tokens", *_P)
     if ws is not None:  # the iterations read a table of fewer and larger files
         compact = ws.put(compact.coalesce(1 + scores.count() // ROWS_A_TASK), "compact")
-    for i in range(iterations + 1):
-        out = compact.mapInArrow(_totals(history, step, max_rate), "e array<double>, g array<double>")
-        row = out.agg(*[F.sum(F.get("e", F.lit(c))).alias(f"e{c}") for c in range(k)], *[F.sum(F.get("g", F.lit(c))).alias(f"g{c}") for c in range(k * k)]).first()
-        e = np.array([row[f"e{c}"] or 0.0 for c in range(k)])
-        if i == 0:
-            total = e.sum()
-            if not total:
+
+    def sums(step: float, trial: np.ndarray) -> np.ndarray:
+        out = compact.mapInArrow(_totals(history, step, trial, max_rate), "x array<double>")
+        row = out.agg(*[F.sum(F.get("x", F.lit(c))).alias(f"x{c}") for c in range(k + k * k + 2)]).first()
+        return np.array([x or 0.0 for x in row])
+
+    x = sums(0.0, np.zeros(k))
+    total = x[:k].sum()
+    if not total:
+        return history, 1.0, trace
+    want = np.array([float(targets[d]) for d in DOMAINS])
+    b = (want * x[:k] if relative else budget * total * want / want.sum()) / total
+    largest = max(1e-9, float(np.linalg.eigvalsh(x[k : k + k * k].reshape(k, k)).max()) / total)
+    step = FIRST_STEP / largest
+    e = x[:k] / total - b
+    trace.append([round(float(v), 9) for v in e])
+    if np.abs(e).max() < tolerance:
+        return history, 1.0, trace
+    trial = np.zeros(k)
+    for _ in range(iterations):
+        # Newton on the step's dual, whose gradient is (residual at the trial's rates) - trial.
+        ahead, last = np.zeros(k), None
+        size = 1.0
+        for _ in range(TRIALS):
+            y = trial + size * ahead
+            x = sums(step, y) / total
+            e, value = x[:k] - b, x[-2] - y @ b - y @ y / 2
+            trace.append([round(float(v), 9) for v in e])
+            gap = e @ e / 2 - (x[-1] - y @ b - y @ y / 2)
+            if np.abs(e).max() < tolerance or 2 * gap <= tolerance**2:
+                if np.abs(e).max() >= tolerance:
+                    log.warning("targets out of reach at these rates; least residual in shares of all words: %s", dict(zip(DOMAINS, trace[-1], strict=True)))
+                return np.vstack([history, step * y]), 1.0, trace
+            if last is not None and value < last + 1e-4 * size * (slope @ ahead) - 1e-15 and size > 1e-6:
+                size /= 2
+                continue
+            slope = e - y
+            if np.abs(slope).max() < 1e-14 or (last is not None and value - last < 1e-17 and np.abs(slope).max() < tolerance / 100):
+                trial = y
                 break
-            gram = np.array([row[f"g{c}"] for c in range(k * k)]).reshape(k, k) / total
-            step = 1.0 / max(1e-9, float(np.linalg.eigvalsh(gram).max()))
-            want = np.array([float(targets[d]) for d in DOMAINS])
-            b = want * e if relative else budget * total * want / want.sum()
-        residual = (e - b) / total
-        trace.append([round(float(x), 9) for x in residual])
-        if i == iterations or np.abs(residual).max() < tolerance:
-            break
-        history = np.vstack([history, residual])
-    return history, step, trace
+            ahead = np.linalg.solve(step * x[k : k + k * k].reshape(k, k) + np.eye(k), slope)
+            trial, last, size = y, value, 1.0
+        history = np.vstack([history, step * trial])
+        step = min(step * GROWTH, LARGEST_STEP / largest)
+    raise RuntimeError(f"rates not within {tolerance} of the best after {iterations} steps; residual {trace[-1]}")
 
 
 def _rate(history: np.ndarray, step: float, max_rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -192,7 +241,7 @@ def mix_sources(
     relative: bool = False,
     budget: float = 1.0,
     max_rate: float = 4.0,
-    iterations: int = 30,
+    iterations: int = 300,
     sample: int = 3000,
     seed: int = 17,
     id_col: str = "doc_id",

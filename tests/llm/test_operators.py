@@ -297,6 +297,32 @@ def test_rates_equal_brute_force_projected_gradient():
     assert np.allclose(S.rates_of(p, h, 0.7, 2.0), r)
 
 
+@pytest.mark.parametrize("targets,relative,top", [({"good": 1.0, "low": 0.5, "toxic": 0.1}, True, 1.0), (Q.MIX, False, 4.0)])
+def test_rates_reach_the_optimum_with_little_toxic_text(spark, targets, relative, top):
+    rng = np.random.default_rng(5)
+    kind = rng.choice(3, 600, p=[0.965, 0.025, 0.01])
+    p = np.round(np.stack([rng.dirichlet(np.eye(3)[k] * 60 + 0.4) for k in kind]), 9)
+    t = rng.integers(20, 300, len(kind))
+    scores = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(t, p, strict=True)], "n_tokens long, p_good double, p_low double, p_toxic double")
+    history, step, trace = S.solve(scores, targets, relative, 1.0, top)
+    got = S.rates_of(p, history, step, top)
+    w, want = t / t.sum(), np.array([targets[d] for d in S.DOMAINS])
+    b = want * (w @ p) if relative else want / want.sum()
+    plain = 1 / np.linalg.eigvalsh((p * w[:, None]).T @ p).max()
+    best = np.ones(len(kind))
+    for _ in range(60_000):
+        best = np.clip(best - plain * (p @ ((w * best) @ p - b)), 0, top)
+    assert np.abs((w * got) @ p - (w * best) @ p).max() < 5e-5
+    assert np.allclose(trace[-1], (w * got) @ p - b, atol=1e-8)
+    assert abs(got[kind == 2].mean() - best[kind == 2].mean()) < 0.05
+
+
+def test_rates_that_do_not_converge_are_an_error(spark):
+    scores = spark.createDataFrame([(10, 0.9, 0.05, 0.05), (3, 0.1, 0.2, 0.7)], "n_tokens long, p_good double, p_low double, p_toxic double")
+    with pytest.raises(RuntimeError):
+        S.solve(scores, Q.MIX, False, 1.0, 4.0, iterations=0)
+
+
 # -- URLs ------------------------------------------------------------------------------------------------------------
 
 
