@@ -421,7 +421,11 @@ def links(docs: DataFrame, k: int, measure: Measure, ws: Workspace) -> tuple[Dat
     classes = sizes.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = ws.put(sizes.where("n > 0 and doc_id is not null").join(classes.where("copies > 1"), ["d1", "d2", "n"]).where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
     known = docs.where("doc_id is not null")
-    unique = restrict(known, "doc_id", copies, "doc_id", inside=False).unionByName(restrict(known, "doc_id", copies, "doc_id").join(copies.select("doc_id").distinct(), "doc_id", "left_anti"))
+    # An id leaves only if all its texts are one set that a smaller id has; one with several sets stays with all its rows.
+    own = restrict(sizes.where("n > 0 and doc_id is not null"), "doc_id", copies, "doc_id").groupBy("doc_id")
+    one = own.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("d1", "d2", "n") for f in (F.min, F.max)]).where("d1_min = d1_max and d2_min = d2_max and n_min = n_max").select("doc_id")
+    gone = ws.put(copies.select("doc_id").distinct().join(one, "doc_id", "left_semi"), "gone")
+    unique = restrict(known, "doc_id", gone, "doc_id", inside=False).unionByName(restrict(known, "doc_id", gone, "doc_id").join(gone, "doc_id", "left_anti"))
     keys = ws.put(unique.mapInArrow(_keys(plan, keys_again(unique, plan, total)), "key long, doc_id long, n int, s byte"), "keys", "lz4")
     lists = keys.groupBy("key", "s").agg(F.min(F.struct("n", "doc_id")).alias("p"), F.count("*").alias("c")).where("c > 1")
     lists = ws.put(lists.select("key", "s", F.col("p.n").alias("np"), F.col("p.doc_id").alias("pivot")), "lists", "lz4")

@@ -67,6 +67,16 @@ def test_defined_cases(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("words", [9, 60])
+def test_an_id_with_a_copied_text_keeps_its_others(spark, words):
+    a, b = (" ".join(f"{c}{i}" for i in range(words)) for c in "ab")
+    near = b + " more"
+    rows = [(3, a), (5, a), (5, b), (9, near)]
+    assert run(spark, rows, 3, 80, 100) == brute(rows, 3, 80, 100)
+    rows += [(12, b), (13, b), (5, None), (20, "c " + a), (2, "c " + a)]
+    assert run(spark, rows, 3, 80, 100) == brute(rows, 3, 80, 100)
+
+
 def test_blocks_settle_what_the_pivot_does_not(spark, monkeypatch):
     from rillflow.llm import ngram_join
 
