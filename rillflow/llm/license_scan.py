@@ -1,8 +1,9 @@
 """License scans by patience alignment.
 
-For each place of a template's distinctive word, the words around it are aligned with the template: words unique to both
-sides are anchors, their longest increasing subsequence is kept, and the gaps between anchors are aligned the same way.
-Coverage is the share of the template's words that are aligned. Every place of every text is tried; overlapping matches of
+Templates are whole licences and headers, and one-line notices. The words that name a licence and its version are fixed
+anchors: a text must have them word for word, so one word's difference there is another licence. Around each of their places
+(of each distinctive word, if a long template has none) the words are aligned with the template: words unique to both sides are anchors, their longest increasing subsequence is kept, and the gaps between anchors are aligned the same way.
+Coverage is the share of the template's words that are aligned. A match that spans a clause of another licence's is none. Every place of every text is tried; overlapping matches of
 one template count once, the best first.
 
 Defined cases: a null or empty text has no licence; ties in coverage go to the longer template, then to the smaller name,
@@ -22,18 +23,47 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-# Public notices, by SPDX identifier.
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. {Redistributions of source code} must retain the above copyright notice, this list of conditions and the following disclaimer. 2. {Redistributions in binary form} must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAME = "Neither the name of the copyright holder nor the names of its contributors {may be used to endorse or promote products derived from this software} without specific prior written permission."
+_BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+
+
+def _gnu(what: str, name: str, version: str) -> str:
+    return f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {{{name}}} as published by the Free Software Foundation, either {{version {version} of the License}}, or (at your option) any later version."
+
+
+# Public licences and notices, by SPDX identifier. What is in braces names the licence: it must be in a text
+# word for word.
 NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "AGPL-3.0-header": _gnu("program", "GNU Affero General Public License", "3"),
+    "Apache-2.0": "Licensed under the {Apache License, Version 2.0}.",
+    "Apache-2.0-header": 'Licensed under the {Apache License, Version 2.0} (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "BSD-2-Clause": f"{_BSD_HEAD} {_BSD_TAIL}",
+    "BSD-3-Clause": f"{_BSD_HEAD} 3. {_BSD_NAME} {_BSD_TAIL}",
+    "BSD-4-Clause": f"{_BSD_HEAD} 3. {{All advertising materials mentioning features or use of this software}} must display the following acknowledgement: This product includes software developed by the organization. 4. {_BSD_NAME} {_BSD_TAIL}",
+    "CC-BY-4.0": "This work is licensed under a {Creative Commons Attribution 4.0 International} License.",
+    "CC-BY-4.0-short": "Licensed under {CC BY 4.0}.",
+    "CC-BY-NC-4.0": "Licensed under {CC BY-NC 4.0}.",
+    "CC-BY-NC-4.0-work": "This work is licensed under a {Creative Commons Attribution-NonCommercial 4.0 International} License.",
+    "CC-BY-NC-ND-4.0": "Licensed under {CC BY-NC-ND 4.0}.",
+    "CC-BY-NC-SA-4.0": "Licensed under {CC BY-NC-SA 4.0}.",
+    "CC-BY-ND-4.0": "Licensed under {CC BY-ND 4.0}.",
+    "CC-BY-SA-4.0": "Licensed under {CC BY-SA 4.0}.",
+    "CC-BY-SA-4.0-work": "This work is licensed under a {Creative Commons Attribution-ShareAlike 4.0 International} License.",
+    "GPL-2.0": "This work is licensed under the {GNU General Public License, version 2}.",
+    "GPL-2.0-header": _gnu("program", "GNU General Public License", "2"),
+    "GPL-3.0": "This work is licensed under the {GNU General Public License, version 3}.",
+    "GPL-3.0-header": _gnu("program", "GNU General Public License", "3"),
+    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice {appear in all copies}. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "LGPL-2.1-header": _gnu("library", "GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0-header": _gnu("library", "GNU Lesser General Public License", "3"),
+    "MIT": "Released under the {MIT License}.",
+    "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and {associated documentation files} (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in {all copies or substantial portions of the Software}. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
 }
+#: Words of clauses that make another licence of one whose template lacks them (fixed values).
+FOREIGN = ("all advertising materials", "used to endorse or promote", "good not evil", "except as contained in this notice")
+#: Templates without braces of up to so many words need all their distinctive words.
+SHORT = 16
 #: Words too common to start a match (a fixed list).
 COMMON = frozenset("a an and any are as at be by can either following for free from in is it may not of on or option provided that the this to under use version with without work you your".split())
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
@@ -92,16 +122,54 @@ def align(a: list[str], b: list[str], a0: int = 0, b0: int = 0) -> list[tuple[in
     return sorted((p + a0, q + b0) for p, q in out)
 
 
+def named(template: str) -> list[tuple[int, int]]:
+    """(first, end) of the words that a text must have word for word: those in braces, or a short notice's distinctive ones."""
+    out, n = [], 0
+    for i, part in enumerate(re.split(r"[{}]", template)):
+        m = n + len(words(part))
+        if i % 2 and m > n:
+            out.append((n, m))
+        n = m
+    if not out and n <= SHORT:
+        out = [(i, i + 1) for i, w in enumerate(words(template)) if w not in COMMON]
+    return out
+
+
+def place_of(run: list[str], text: list[str], lo: int, hi: int) -> int:
+    """First place in text[lo:hi] of a run of words, or -1."""
+    return next((i for i in range(lo, min(hi, len(text)) - len(run) + 1) if text[i] == run[0] and text[i : i + len(run)] == run), -1)
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.templates = {k: words(v) for k, v in sorted(templates.items())}
+        self.named = {k: named(v) for k, v in templates.items()}
+        self.foreign = {k: [f for f in map(words, FOREIGN) if place_of(f, t, 0, len(t)) < 0] for k, t in self.templates.items()}
         self.coverage = coverage
         self.seeds: dict[str, list[str]] = {}
         for name, t in self.templates.items():
-            for w in sorted({w for w in t if w not in COMMON} or set(t)):
+            # A match has the first named words, so their places are all that need a look.
+            for w in {t[self.named[name][0][0]]} if self.named[name] else sorted({w for w in t if w not in COMMON} or set(t)):
                 self.seeds.setdefault(w, []).append(name)
         self.any = frozenset(self.seeds)
 
+    def around(self, text: list[str], name: str, place: int) -> tuple[float, int, int, int]:
+        """As at(), with the named words as fixed anchors, the first of them at a place; no coverage without all of them."""
+        t, pairs = self.templates[name], []
+        slack = 2 + len(t) // 2
+        i, lo, at = 0, max(0, place - self.named[name][0][0] - slack), place
+        for n, (first, end) in enumerate(self.named[name]):
+            at = place_of(t[first:end], text, at, at + (end - first if n == 0 else first - i + slack + end - first))
+            if at < 0:
+                return 0.0, 0, place, place
+            pairs += align(text[lo:at], t[i:first], lo, i) + [(at + x, first + x) for x in range(end - first)]
+            i, at = end, at + end - first
+            lo = at
+        pairs += align(text[lo : lo + len(t) - i + slack], t[i:], lo, i)
+        if any(place_of(f, text, pairs[0][0], pairs[-1][0] + 1) >= 0 for f in self.foreign[name]):
+            return 0.0, 0, place, place
+        return len(pairs) / len(t), len(pairs), pairs[0][0], pairs[-1][0]
+
     def at(self, text: list[str], name: str, place: int) -> tuple[float, int, int, int]:
         """Coverage, aligned words, first and last aligned place of a template around a place."""
         t = self.templates[name]
@@ -122,6 +190,12 @@ class Scanner:
         for name, at in places.items():
             need = self.coverage * len(self.templates[name])
             hits = []
+            if self.named[name]:
+                for i in at:
+                    c, n, a, b = self.around(found, name, i)
+                    if c >= self.coverage:
+                        hits.append((-c, b - a, a, b, n))
+                at = []
             vocabulary = frozenset(self.templates[name])
             for i in at:
                 lo = max(0, i - len(self.templates[name]) - 2)

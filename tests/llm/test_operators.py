@@ -240,6 +240,34 @@ def test_license_scan_finds_planted_notices(spark):
     assert [x[0] for x in twice] == ["MIT", "MIT"]
 
 
+def test_license_scan_keeps_licences_apart(spark):
+    r = random.Random(15)
+    noise = lambda n: " ".join(f"w{r.randrange(500)}" for _ in range(n))
+    mit, bsd3 = L.NOTICES["MIT-grant"], L.NOTICES["BSD-3-Clause"]
+    cases = [
+        ("Released under the BSD License.", None),
+        ("Released under the MIT License. See the license", "MIT"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0-short"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("Licensed under CC BY-NC 3.0.", None),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", None),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        (L.NOTICES["GPL-3.0-header"].replace("version 3", "version 4"), None),
+        (L.NOTICES["BSD-2-Clause"], "BSD-2-Clause"),
+        (bsd3.replace("copyright holder nor", "University nor"), "BSD-3-Clause"),
+        (bsd3[:150], None),
+        (mit[:130], None),
+        (mit.replace("THE SOFTWARE IS", "The Software shall be used for Good, not Evil. THE SOFTWARE IS", 1), None),
+    ]
+    texts = [f"{noise(30)}\n{t}\n{noise(300)}" for t, _ in cases]
+    got = {x.doc_id: x for x in L.license_scan(docs(spark, texts)).collect()}
+    assert [got[i].license for i in range(len(texts))] == [w for _, w in cases]
+    assert all(x.licenses == (x.license or "") for x in got.values())
+    own = L.Scanner({"x": "Released under the Foo License."}, 0.8)
+    assert own.scan("released under the foo license") and not own.scan("released under the bar license")
+
+
 def test_alignment_against_brute_force():
     def lis(v):
         best = [1] * len(v)
