@@ -72,7 +72,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from rillflow.llm.packing import pack
     from rillflow.llm.tokens import Tokenizer
 
-    return pack(docs, Tokenizer(str(public_tokenizers.path("byte_bpe_50k.json"))), length=1024)
+    return pack(docs, Tokenizer(str(public_tokenizers.path("byte_bpe_50k.json")), added=True), length=1024)
 
 
 def _without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:

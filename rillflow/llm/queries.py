@@ -51,7 +51,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
     from .tokens import Tokenizer
 
-    return pack(_read(spark, sf_dir, "documents"), Tokenizer(str(public_tokenizers.path("byte_bpe_50k.json"))), length=1024)
+    return pack(_read(spark, sf_dir, "documents"), Tokenizer(str(public_tokenizers.path("byte_bpe_50k.json")), added=True), length=1024)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

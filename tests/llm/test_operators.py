@@ -164,6 +164,23 @@ def test_tokens_equal_the_reference_library(tokenizer):
         assert tokenizer.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_added_tokens_equal_the_reference_library_as_loaded(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer as Reference
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    t, own = Reference.from_file(path), Tokenizer(path, added=True)
+    end = "<|endoftext|>"
+    texts = [x for x in ODD if x is not None] + [f"a {end} b", end, end * 2, f"{end} x{end}\n{end[:-1]} {end}", f"  {end}  ", "<|endof text|>", f"É{end}日本"]
+    for x in texts:
+        assert own.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
+    assert own.encode(f"a {end} b").tolist() == [64, 220, 50256, 275]
+    rows = [(i, x, "s", 0) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.doc_tokens for x in Q.op6_packing(spark, f"file://{tmp_path}").collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in enumerate(texts)}
+
+
 def check_pieces(rows, texts, tokenizer, length):
     want = [np.append(tokenizer.encode(t or ""), 0).astype("<u4") for t in texts]
     at = dict.fromkeys(range(len(texts)), 0)
