@@ -8,7 +8,8 @@ quanta follow the targets for as long as all queues have tokens; then a phase en
 
 A document is its ids and the end id; documents are cut where a quantum or a sequence ends. Token ids are written once to
 the shared folder, with each chunk's offsets in its queues; prefix sums of the chunks' totals place them, so no queue is
-ever gathered in a task, whatever its share of the rows.
+ever gathered in a task, whatever its share of the rows. With more sources than the driver should hold, totals and rounds
+are tables as well, with the same pieces as result.
 
 Defined cases: a null text is empty (one piece with the end id); a null source is a queue of its own; repeated rows are
 packed each; an empty table gives an empty result; other columns are ignored.
@@ -165,27 +166,126 @@ def pack(
 ) -> DataFrame:
     """Pieces of documents in sequences: see _PIECES. targets: weight of each source; by default its share of all tokens.
 
-    Beyond max_queues sources, the queues are those of hashes of the sources (nothing is dropped, and the driver's table of
-    totals stays bounded); targets need each source as a queue. Chunk offsets are broadcast up to broadcast_chunks rows and
-    joined by shuffle beyond.
+    Every source is a queue of its own. Up to max_queues sources the driver holds their totals; beyond, they are a table
+    joined by shuffle, with the same pieces as result (targets name their sources, so they always go by the driver). Chunk
+    offsets are broadcast up to broadcast_chunks rows and joined by shuffle beyond.
     """
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "packing")
-    source = F.col(source_col).cast("string")
-    if targets is None and docs.select(source.alias("s")).distinct().limit(max_queues + 1).count() > max_queues:
-        source = F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), source.alias("source"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
     tokens = ws.put(rows.mapInArrow(_tokenise(tokenizer, end_id), _TOKENS), "tokens")
     chunks = tokens.groupBy("source", "chunk").agg(F.sum("n").alias("sent"))
-    totals = {r.source: r.total for r in chunks.groupBy("source").agg(F.sum("sent").alias("total")).collect()}  # at most max_queues rows
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    places = ws.put(chunks.select("source", "chunk", F.coalesce(F.sum("sent").over(before), F.lit(0)).alias("before")), "places")
+    places = ws.put(chunks.select("source", "chunk", F.coalesce(F.sum("sent").over(before), F.lit(0)).alias("before"), "sent"), "places")
+    sums = places.groupBy("source").agg(F.sum("sent").alias("total"))
+    wide = targets is None and places.select("source").distinct().limit(max_queues + 1).count() > max_queues
+    places = places.drop("sent")
     if places.count() <= broadcast_chunks:
         places = F.broadcast(places)
     placed = tokens.join(places, ["source", "chunk"]).select("doc_id", "source", (F.col("at") + F.col("before")).alias("at"), "n", "ids")
+    if wide:
+        return _pack_wide(placed, sums, window_sequences * length, length, tokenizer.size > 1 << 16, ws)
+    totals = {r.source: r.total for r in sums.collect()}  # at most max_queues rows, or as many as targets name
     return placed.mapInArrow(_cut(phases(totals, targets), window_sequences * length, length, tokenizer.size > 1 << 16), _PIECES)
 
 
+#: Rounds whose sums are added up together.
+ROUNDS = 4096
+
+
+def _quanta(rounds: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(source, bucket, round, tokens) of the rounds in which a source sends a token or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, total, bucket in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for lo in range(0, rounds, 1 << 16):
+                    r = range(lo, min(rounds, lo + (1 << 16)) + 1)
+                    # Rounds in which it sends: that of each token, or all of them.
+                    if total < rounds:
+                        first, last = r[0] * total // rounds, r[-1] * total // rounds
+                        at = [-(-(j + 1) * rounds // total) - 1 for j in range(first, last)]
+                        q = [1] * len(at)
+                    else:
+                        at = list(r[:-1])
+                        q = [(x + 1) * total // rounds - x * total // rounds for x in at]
+                    if at:
+                        m = len(at)
+                        yield pa.RecordBatch.from_arrays([pa.array([source] * m, pa.string()), pa.array([bucket] * m, pa.int32()), pa.array(at, pa.int64()), pa.array(q, pa.int64())], names=["source", "bucket", "r", "q"])
+
+    return run
+
+
+def _split(rounds: int, wide: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents cut where a quantum ends: the round, the place in its quantum, and the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 4 if wide else 2
+        for batch in batches:
+            out: list[list] = [[] for _ in _SPLIT_ARROW]
+            for doc, source, at, n, raw, total in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                lo = 0
+                while lo < n:
+                    # The token at place x of a queue is sent in the round r with floor(r T / R) <= x < floor((r + 1) T / R).
+                    r = -(-(at + lo + 1) * rounds // total) - 1
+                    first, end = r * total // rounds, (r + 1) * total // rounds
+                    k = min(n - lo, end - at - lo)
+                    for col, x in zip(out, (doc, source, r, at + lo - first, lo, k, n, raw[lo * size : (lo + k) * size]), strict=True):
+                        col.append(x)
+                    lo += k
+                if len(out[0]) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SPLIT_ARROW, strict=True)], schema=_SPLIT_ARROW)
+                    out = [[] for _ in _SPLIT_ARROW]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SPLIT_ARROW, strict=True)], schema=_SPLIT_ARROW)
+
+    return run
+
+
+_SPLIT = "doc_id long, source string, r long, inside long, start long, k long, n long, ids binary"
+_SPLIT_ARROW = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]]) for x in _SPLIT.split(", ")])
+
+
+def _sequences(length: int, wide: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in _PIECES_ARROW]
+            for doc, source, g, start, n, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                ids, at = np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4"), 0
+                while at < len(ids):
+                    k = min(len(ids) - at, length - g % length)
+                    row = (doc, start + at, k, zlib.crc32(ids[at : at + k].tobytes()), n, g // length, g % length, None if source == _NO_SOURCE else source)
+                    for col, x in zip(out, row, strict=True):
+                        col.append(x)
+                    at, g = at + k, g + k
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PIECES_ARROW, strict=True)], schema=_PIECES_ARROW)
+
+    return run
+
+
+def _pack_wide(placed: DataFrame, sums: DataFrame, window: int, length: int, wide: bool, ws: Workspace) -> DataFrame:
+    """The pieces of Schedule where no task holds all totals. A quantum's place is the sum of the rounds before its own and of
+    the smaller sources' quanta in it; sums go by blocks of rounds and by ranges of sources, so no task adds up a whole round."""
+    # A range sort numbers its partitions in the order of the sources.
+    sums = ws.put(sums.orderBy("source").withColumn("bucket", F.spark_partition_id()), "sums")
+    rounds = max(1, -(-sums.agg(F.sum("total")).first()[0] // window))
+    quanta = ws.put(sums.select("source", "total", "bucket").mapInArrow(_quanta(rounds), "source string, bucket int, r long, q long"), "quanta")
+
+    def earlier(by, order, what):
+        w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(what).over(w), F.lit(0))
+
+    ranges = quanta.groupBy("r", "bucket").agg(F.sum("q").alias("s"))
+    each = ranges.groupBy("r").agg(F.sum("s").alias("s")).withColumn("block", F.expr(f"r div {ROUNDS}"))
+    blocks = each.groupBy("block").agg(F.sum("s").alias("s")).select("block", earlier(F.lit(0), "block", "s").alias("b0"))  # a row for ROUNDS rounds
+    each = each.select("r", "block", earlier("block", "r", "s").alias("b1")).join(blocks, "block").select("r", (F.col("b0") + F.col("b1")).alias("base"))
+    ranges = ranges.select("r", "bucket", earlier("r", "bucket", "s").alias("ahead")).join(each, "r").select("r", "bucket", (F.col("base") + F.col("ahead")).alias("base"))
+    starts = quanta.select("source", "r", "bucket", earlier(["r", "bucket"], "source", "q").alias("ahead")).join(ranges, ["r", "bucket"]).select("source", "r", (F.col("base") + F.col("ahead")).alias("first"))
+    starts = ws.put(starts, "starts")
+    parts = placed.join(sums.select("source", "total"), "source").select("doc_id", "source", "at", "n", "ids", "total").mapInArrow(_split(rounds, wide), _SPLIT)
+    parts = parts.join(starts, ["source", "r"]).select("doc_id", "source", (F.col("first") + F.col("inside")).alias("g"), "start", "n", "ids")
+    return parts.mapInArrow(_sequences(length, wide), _PIECES)
+
+
 def mixture(pieces: DataFrame, window: int) -> DataFrame:
     """Tokens of each source in each window of that many sequences, for reports and tests."""
     return pieces.groupBy(F.expr(f"sequence_id div {int(window)}").alias("window"), "source").agg(F.sum("length").alias("tokens"))

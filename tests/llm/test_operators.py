@@ -223,6 +223,21 @@ def test_many_sources_and_shuffled_chunks(spark, tokenizer):
     check_pieces(out.collect(), texts, tokenizer, 32)
 
 
+@pytest.mark.parametrize("window", [1, 4])
+def test_every_source_is_a_queue_at_any_number_of_sources(spark, tokenizer, monkeypatch, window):
+    monkeypatch.setattr(P, "ROUNDS", 3)
+    r = random.Random(14)
+    texts = [" ".join(str(r.random()) for _ in range(1 + i % 13)) for i in range(150)]
+    # Sorted by source; some have a single short text, one has many.
+    rows = sorted(((i, t, None if i == 7 else f"host{i % 40 if i < 110 else 3}é") for i, t in enumerate(texts)), key=lambda x: x[2] or "")
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(3)
+    few = P.pack(d, tokenizer, length=32, window_sequences=window).collect()
+    many = P.pack(d, tokenizer, length=32, window_sequences=window, max_queues=5, broadcast_chunks=0).collect()
+    check_pieces(many, texts, tokenizer, 32)
+    assert {x.doc_id: x.source for x in many} == {i: s for i, _, s in rows}
+    assert sorted(map(str, many)) == sorted(map(str, few))
+
+
 def test_schedule_is_a_permutation():
     plan = P.phases({"a": 1000, "b": 37, "c": 5}, {"a": 1.0, "b": 1.0, "c": 0.0})
     assert sum(sum(p.values()) for p in plan) == 1042
