@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,26 +193,28 @@ def compare_counts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.join(y, key, "full_outer").na.fill(0, ["left_rows", "right_rows"]).withColumn("change", F.col("right_rows") - F.col("left_rows"))
 
 
-def closure(spark, edges: DataFrame, start: str, max_depth: int = 64) -> DataFrame:
+def closure(spark, edges: DataFrame, start: str) -> DataFrame:
     """Nodes reachable from start and their least depth; each round reads only the last round's nodes."""
     from ..sources.store import checkpointed
 
     seen = frontier = spark.createDataFrame([(start, 0)], "node string, depth int")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         nxt = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct().join(seen, "node", "left_anti")
         nxt = checkpointed(nxt)
         if nxt.isEmpty():
             break
         seen, frontier = seen.unionByName(nxt), nxt
+        if depth % 16 == 0:  # plans stay short at any depth
+            seen = checkpointed(seen)
     return seen
 
 
-def cycle_nodes(spark, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def cycle_nodes(spark, edges: DataFrame) -> DataFrame:
     """Nodes on or behind a cycle: what is left after nodes without incoming edges are peeled off again and again."""
     from ..sources.store import checkpointed
 
     left = edges
-    for _ in range(max_rounds):
+    while True:
         sources = left.select(F.col("src").alias("n")).distinct().join(left.select(F.col("dst").alias("n")).distinct(), "n", "left_anti")
         nxt = checkpointed(left.join(sources, left.src == sources.n, "left_anti"))
         if nxt.count() == left.count():

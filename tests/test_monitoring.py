@@ -85,3 +85,9 @@ def test_reconcile_and_parity(spark):
     q = spark.createDataFrame([(1, 0.5), (3, 0.1)], "event_id long, p double")
     x = T.parity(p, q).first()
     assert (x.compared, x.missing, x.unexpected, x.mismatched) == (1, 1, 1, 0)
+
+
+def test_lineage_deeper_than_64_levels(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(66)], "src string, dst string")
+    assert {r.node: r.depth for r in T.closure(spark, chain, "n0").collect()} == {f"n{i}": i for i in range(67)}
+    assert T.cycle_nodes(spark, chain).count() == 0
