@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,18 +61,6 @@ def words_of(text):
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), lambda w: w != "")
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of at most so many rows, for actions inside on rows of many kilobytes each."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
-
-
 def ascii_lower(text):
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)
@@ -83,31 +70,39 @@ def _bit(col):
     return F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
 
 
+def filter_of(ids: DataFrame, id_col: str) -> DataFrame:
+    """(page, bits): a bitmap of FILTER_BITS bits of the ids, at most 2 MiB whatever their number."""
+    bits = ids.select(_bit(F.col(id_col)).alias("b"))
+    return bits.groupBy(F.expr(f"b div {_PAGE_BITS}").alias("page")).agg(F.bitmap_construct_agg((F.col("b") % _PAGE_BITS)).alias("bits"))
+
+
+def may_hold(df: DataFrame, col: str, pages: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows of df whose col a filter lets through (inside=False: the others), without a shuffle of df."""
+    own = uuid.uuid4().hex  # df may have columns of any name
+    b, page, bits = f"b_{own}", f"page_{own}", f"bits_{own}"
+    out = df.withColumn(b, _bit(F.col(col))).withColumn(page, F.expr(f"{b} div {_PAGE_BITS}"))
+    out = out.join(F.broadcast(pages.select(F.col("page").alias(page), F.col("bits").alias(bits))), page, "left")
+    at = F.expr(f"cast({b} % {_PAGE_BITS} as int)")
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast(({b} % {_PAGE_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
+    return out.where(hit if inside else ~hit).drop(b, page, bits)
+
+
 def restrict(df: DataFrame, col: str, ids: DataFrame, id_col: str, inside: bool = True) -> DataFrame:
     """Rows of df whose col may be in ids: a superset of the semi join, without a shuffle of df. inside=False: the others.
 
-    The filter is a bitmap of FILTER_BITS bits, so what is broadcast is bounded; as it fills up it only lets more rows
-    through to the exact join that must follow.
+    What is broadcast is bounded; as the filter fills up it only lets more rows through to the exact join that must follow.
     """
-    pages = (
-        ids.select(_bit(F.col(id_col)).alias("b"))
-        .groupBy(F.expr(f"b div {_PAGE_BITS}").alias("__page"))
-        .agg(F.bitmap_construct_agg((F.col("b") % _PAGE_BITS)).alias("__bits"))
-    )
-    out = df.withColumn("__b", _bit(F.col(col))).withColumn("__page", F.expr(f"__b div {_PAGE_BITS}")).join(F.broadcast(pages), "__page", "left")
-    at = F.expr(f"cast(__b % {_PAGE_BITS} as int)")
-    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast((__b % {_PAGE_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))
-    return out.where(hit if inside else ~hit).select(*[df[c] for c in df.columns])
+    return may_hold(df, col, filter_of(ids, id_col), inside)
 
 
-def components(spark: SparkSession, edges: DataFrame, ws: Workspace, a: str = "a", b: str = "b") -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, ws: Workspace, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
     """(node, component): the smallest node reachable over the edges, for every node with an edge.
 
     Alternates large-star and small-star steps until the edges are stars. Minima are combined before the shuffle and
     joined back, so a node with very many edges can be split over tasks; each round is a table in the shared folder.
     """
-    cur = ws.put(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc0")
+    cur = ws.put(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), f"{name}0")
     last, i = None, 0
     while True:
         i += 1
@@ -116,8 +111,8 @@ def components(spark: SparkSession, edges: DataFrame, ws: Workspace, a: str = "a
         large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        new = ws.put(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), f"cc{i}")
-        ws.drop(f"cc{i - 1}")
+        new = ws.put(small.select("e.u", F.col("e.m").alias("v")).where("u <> v").distinct(), f"{name}{i}")
+        ws.drop(f"{name}{i - 1}")
         now = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(now) == last:
             break
