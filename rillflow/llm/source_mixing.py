@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> np.ndarray:
 
 
 _P = [f"p_{d}" for d in DOMAINS]
-_SCORES = "doc_id long, n_tokens long, " + ", ".join(f"{p} double" for p in _P)
+_SCORES = "doc_id long, row long, n_tokens long, " + ", ".join(f"{p} double" for p in _P)
 
 
 def _posteriors(theta: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -118,12 +118,12 @@ def _posteriors(theta: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Itera
             ids, ns, ps = [], [], []
             for rows, n, t, f, w in sparse(batch):
                 z = np.stack([np.bincount(t, w * theta[f, c], len(n)) for c in range(theta.shape[1])], 1) + theta[-1]
-                ids.append(batch.column(0).slice(rows.start, rows.stop - rows.start))
+                ids.append(rows)
                 ns.append(n)
                 ps.append(np.round(softmax(z), 9))
             if ids:
                 p = np.concatenate(ps)
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(np.concatenate(ns), pa.int64()), *(pa.array(p[:, c]) for c in range(p.shape[1]))], names=["doc_id", "n_tokens", *_P])
+                yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([batch.column(c).slice(r.start, r.stop - r.start) for r in ids]) for c in ("doc_id", "row")), pa.array(np.concatenate(ns), pa.int64()), *(pa.array(p[:, c]) for c in range(p.shape[1]))], names=["doc_id", "row", "n_tokens", *_P])
 
     return run
 
@@ -226,8 +226,8 @@ def solve(scores: DataFrame, targets: dict[str, float], relative: bool, budget:
 def _rate(history: np.ndarray, step: float, max_rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = np.stack([batch.column(c + 2).to_numpy(zero_copy_only=False) for c in range(len(_P))], 1)
-            n = batch.column(1).to_numpy(zero_copy_only=False)
+            p = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _P], 1)
+            n = batch.column("n_tokens").to_numpy(zero_copy_only=False)
             r = np.where(n > 0, rates_of(p, history, step, max_rate), 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(r, 9))], names=[*batch.schema.names, "rate"])
 
@@ -246,19 +246,22 @@ def mix_sources(
     seed: int = 17,
     id_col: str = "doc_id",
     text_col: str = "text",
+    row_col: str | None = None,
     ws: Workspace | None = None,
 ) -> DataFrame:
-    """One row per document: doc_id, n_tokens (words), posteriors, rate, copies.
+    """One row per document: doc_id, n_tokens (words), posteriors, rate, copies; row: with the number in row_col.
 
     targets: each domain's share of budget times all words; relative: its factor on the domain's own expected words.
     """
     if set(targets) != set(DOMAINS):
         raise ValueError(f"targets must name {DOMAINS}")
     ws = ws or Workspace(docs.sparkSession, "mixing")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    row = F.col(row_col) if row_col else F.lit(None)
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.cast("long").alias("row"), F.col(text_col).alias("text"))
     theta = fit(d, labels, sample)
     scores = ws.put(d.mapInArrow(_posteriors(theta), _SCORES), "scores")
     history, step, _ = solve(scores, targets, relative, budget, max_rate, iterations, ws=ws)
     out = scores.mapInArrow(_rate(history, step, max_rate), _SCORES + ", rate double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return out.withColumn("copies", F.floor(F.col("rate") + F.coalesce(draw, F.lit(0.0))).cast("long"))
+    out = out.withColumn("copies", F.floor(F.col("rate") + F.coalesce(draw, F.lit(0.0))).cast("long"))
+    return out if row_col else out.drop("row")
