@@ -11,37 +11,49 @@ from pyspark.sql import functions as F
 from rillflow.llm.common import Workspace, restrict
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a digest of id and text: rows that have it in common are judged alike."""
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ... in their order, so that no name of a column can clash with the operators' own."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def _name(docs: DataFrame, col: str) -> str:
+    return f"c{docs.columns.index(col)}"
+
+
+def _as(plain: DataFrame, docs: DataFrame) -> DataFrame:
+    return plain.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _numbered(docs: DataFrame, ws: Workspace) -> DataFrame:
+    """A table of docs (columns as in _plain) with a number for each row, written so that every later read has the same."""
+    return ws.put(_plain(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep: measured in one narrow pass, rejected ones left out in a second."""
+    """Documents that the quality rules keep. Each row is judged by itself: a repeated id or row, a null id or text is one
+    more document, on its own host."""
     from rillflow.llm.quality_rules import judge, measure
 
     ws = Workspace(spark, "pipeline-quality")
-    measured = ws.put(measure(_keyed(docs).select("__key", "source", "text"), "text", ["__key", "source"]), "measured")
-    rejected = ws.put(judge(measured).where("not kept").select("__key").distinct(), "rejected")
-    return _without(_keyed(docs), rejected, "__key").select(docs.columns)
+    measured = ws.put(measure(_plain(docs), _name(docs, "text")), "measured")
+    return _as(judge(measured, _name(docs, "source")).where("kept"), docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: that of the smallest id, once even where the row itself is repeated."""
+    """One row of each group of equal texts: that of the smallest id, once even where the row itself is repeated. A null text
+    is empty; a null id is smaller than any."""
     from rillflow.llm.exact_dedup import exact_dedup
 
     ws = Workspace(spark, "pipeline-exact")
-    found = ws.put(exact_dedup(_keyed(docs), row_col="__key", ws=ws), "found")
-    dropped = found.where("not kept").select(F.col("row").alias("__key")).distinct()
-    again = found.where("kept").groupBy(F.col("row").alias("__key")).count().where("count > 1").select("__key")
-    rows = _keyed(docs)
-    once = restrict(rows, "__key", again, "__key").join(again, "__key", "left_semi").dropDuplicates(["__key"])
-    out = _without(rows, dropped.unionByName(again), "__key").select(docs.columns)
-    return out.unionByName(once.select(docs.columns))
+    rows = _numbered(docs, ws)
+    found = exact_dedup(rows, _name(docs, "doc_id"), _name(docs, "text"), row_col="row", ws=Workspace(spark, "pipeline-digests"))
+    dropped = ws.put(found.where("not kept").select("row"), "dropped")
+    return _as(_without(rows, dropped, "row"), docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
+    """The smallest id of each group of near copies (five-word shingles, similarity of 0.8 or more). Rows of one id are one
+    document and go or stay together; those without an id or without words stay."""
     from rillflow.llm.ngram_join import jaccard_components
 
     ws = Workspace(spark, "pipeline-near")
@@ -57,16 +69,20 @@ TARGETS = {"good": 1.0, "low": 0.5, "toxic": 0.1}
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the fitted rates, at most once each."""
+    """Documents drawn at the fitted rates, at most once each. Each row is drawn by itself; one without words has rate 1."""
     from rillflow.llm.source_mixing import mix_sources
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    drawn = Workspace(spark, "pipeline-mix").put(mix_sources(docs, labels, TARGETS, relative=True, max_rate=1.0), "drawn")
-    return _without(docs, drawn.where("copies = 0").select("doc_id").distinct(), "doc_id").select(docs.columns)
+    ws = Workspace(spark, "pipeline-mix")
+    rows = _numbered(docs, ws)
+    drawn = mix_sources(rows, labels, TARGETS, relative=True, max_rate=1.0, id_col=_name(docs, "doc_id"), text_col=_name(docs, "text"), row_col="row")
+    dropped = ws.put(drawn.where("copies = 0").select("row"), "dropped")
+    return _as(_without(rows, dropped, "row"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens, every window at the sources' token proportions."""
+    """Pieces of the documents in sequences of 1024 tokens, every window at the sources' token proportions. A null text is
+    empty, a null source one of its own; repeated rows are packed each."""
     import public_tokenizers
 
     from rillflow.llm.packing import pack
