@@ -17,7 +17,9 @@ is least against that of list entries; an entry's cost is the length of the list
 counts. Light sets near the boundary are also listed, for their heavy partners.
 
 Most lists have one member. A first pass sends only 32-bit pieces of the keys to find those that occur again, and marks them
-in a bitmap of bounded size; a second pass writes list entries only where the bitmap lets them through.
+in a bitmap of bounded size; a second pass writes list entries only where the bitmap lets them through. In a band, linked
+sets share not one but `overlap` shingles among overlap - 1 more first ones, so the first pass takes these as well, and a
+set of which fewer than overlap occur again is in no list: chance puts it under a common shingle or two, not under so many.
 
 Under each list the smallest set is the pivot; no group's pairs are ever emitted, only (pivot, member). What is compared
 first are sketches: parities of a set's shingles over some bits, which differ in no more bits than the sets in shingles, so
@@ -86,6 +88,10 @@ class Measure:
         """List entries of a set in its own band."""
         return n - -(-self.num * n // self.den) + 1
 
+    def overlap(self, lo: int) -> int:
+        """Shared shingles asked for in the band from size lo on; no more than any two linked sets of the band share."""
+        return max(1, min(2 * self.entries(lo), -(-self.num * lo // self.den)))
+
     def subsets(self, n: int) -> int:
         return sum(comb(n, s) for s in self.subset_sizes(n))
 
@@ -177,13 +183,13 @@ def light_keys(shingles: np.ndarray, measure: Measure) -> list[tuple[int, int]]:
     return out
 
 
-def heavy_keys(sh: np.ndarray, so: np.ndarray, docs: np.ndarray, band: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lists (keys) of so many first shingles of documents docs in bands band: document numbers and keys."""
-    if not len(docs):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pick = np.repeat(so[docs] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    key = mix(sh[pick] ^ np.repeat(mix(band.astype(U) + U(0x2545F491)), length))
-    return np.repeat(docs, length), key.view(np.int64)
+def heavy_keys(sh: np.ndarray, so: np.ndarray, docs: np.ndarray, band: np.ndarray, length: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of so many first shingles of documents docs in bands band: document numbers, keys, whether it is a list's key
+    (that of the `first` ones) and the number of the entry in docs."""
+    place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    entry = np.repeat(np.arange(len(docs)), length)
+    key = mix(sh[so[docs][entry] + place] ^ mix(band.astype(U) + U(0x2545F491))[entry])
+    return docs[entry], key.view(np.int64), place < first[entry], entry
 
 
 @dataclass(frozen=True)
@@ -196,8 +202,10 @@ class Plan:
     bands: list[int]
     classes: bytes
 
-    def slices(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(ids, set sizes, document of each key, keys, subset sizes: 0 for a list of heavy sets)."""
+    def slices(self, batches: Iterator[pa.RecordBatch], marked: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, set sizes, document of each key, keys, subset sizes: 0 for a list of heavy sets); marked: whether a key occurs
+        again, for only those keys that are to be entered."""
+        overlap = np.array([self.measure.overlap(lo) for lo in self.bands])
         starts = np.array([*self.bands, 1 << 60])
         classes = np.frombuffer(self.classes, np.uint8)
         m = self.measure
@@ -217,14 +225,22 @@ class Plan:
                 up = np.flatnonzero(m.den * size >= m.num * after)
                 full = size - -(-m.num * size // m.den) + 1
                 less = size[up] - -(-m.num * (size[up] + after[up]) // (m.num + m.den)) + 1
-                doc, key = heavy_keys(sh[order], so, np.concatenate([listed, listed[up]]), np.concatenate([band, band[up] + 1]), np.concatenate([full, less]))
+                docs, bands, first = np.concatenate([listed, listed[up]]), np.concatenate([band, band[up] + 1]), np.concatenate([full, less])
+                doc, key, own, entry = heavy_keys(sh[order], so, docs, bands, first + overlap[bands] - 1, first)
+                if marked is not None:
+                    again = marked(key)
+                    enough = np.bincount(entry, again, len(docs)) >= overlap[bands]
+                    keep = own & again & enough[entry]
+                    doc, key = doc[keep], key[keep]
                 kind = np.zeros(len(doc), np.int8)
                 light = np.flatnonzero((n > 0) & (n < self.boundary))
                 if len(light):
                     found = [(d, *x) for d in light.tolist() for x in light_keys(sh[so[d] : so[d + 1]], m)]
-                    doc = np.concatenate([doc, np.array([x[0] for x in found], np.int64)])
-                    key = np.concatenate([key, np.array([x[1] for x in found], np.int64)])
-                    kind = np.concatenate([kind, np.array([x[2] for x in found], np.int8)])
+                    one, k, s = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found], np.int8)
+                    if marked is not None:
+                        keep = marked(k)
+                        one, k, s = one[keep], k[keep], s[keep]
+                    doc, key, kind = np.concatenate([doc, one]), np.concatenate([key, k]), np.concatenate([kind, s])
                 yield ids, n, doc, key, kind
 
 
@@ -288,10 +304,12 @@ def _keys(plan: Plan, again: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(again, np.uint8)
         top = U(64 - (len(again).bit_length() + 2))
-        for ids, n, doc, key, size in plan.slices(batches):
+
+        def marked(key: np.ndarray) -> np.ndarray:
             at = (key.view(U) >> top).astype(np.int64)
-            keep = (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-            doc, key, size = doc[keep], key[keep], size[keep]
+            return (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+
+        for ids, n, doc, key, size in plan.slices(batches, marked):
             for a in range(0, len(doc), 100_000):
                 d = doc[a : a + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(ids[d], pa.int64()), pa.array(n[d], pa.int32()), pa.array(size[a : a + 100_000])], names=["key", "doc_id", "n", "s"])
@@ -484,7 +502,7 @@ def links(docs: DataFrame, k: int, measure: Measure, ws: Workspace) -> tuple[Dat
     gone = ws.put(copies.join(one, "doc_id", "left_semi"), "gone")
     stay = copies.join(one, "doc_id", "left_anti").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     unique = restrict(known, "doc_id", gone, "doc_id", inside=False).unionByName(restrict(known, "doc_id", gone, "doc_id").join(gone.select("doc_id"), "doc_id", "left_anti"))
-    about = count + 2 * (total - measure.num * total // measure.den) + sum(r["count"] * measure.subsets(r.n) for r in few if 0 < r.n < boundary)
+    about = count + 4 * (total - measure.num * total // measure.den) + sum(r["count"] * measure.subsets(r.n) for r in few if 0 < r.n < boundary)
     keys = ws.put(unique.mapInArrow(_keys(plan, keys_again(unique, plan, about)), "key long, doc_id long, n int, s byte"), "keys", "lz4")
     lists = keys.groupBy("key", "s").agg(F.min(F.struct("n", "doc_id")).alias("p"), F.count("*").alias("c")).where("c > 1")
     lists = ws.put(lists.select("key", "s", F.col("p.n").alias("np"), F.col("p.doc_id").alias("pivot")), "lists", "lz4")
