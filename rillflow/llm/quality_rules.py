@@ -2,8 +2,9 @@
 
 Each text is measured within its own row; failures of the soft rules are summed by host (`source`), each host's failure
 rate is shrunk towards the corpus with a beta prior fitted to the hosts' rates by moments, and the host's verdict is joined
-back. A document is rejected when it fails a base rule, or fails a soft rule itself on a host whose shrunken failure rate
-is above the limit; a document without failures is kept whatever its host.
+back. A host is bad when its shrunken rate is above the prior's mean by more than so many of the prior's standard
+deviations, that is, by the measure of the hosts themselves. A document is rejected when it fails a base rule, or fails a
+soft rule itself on a bad host; a document without failures is kept whatever its host.
 
 Defined cases: a null text has no words (and so fails the base rule); a null host is one host of its own; repeated rows
 are measured and counted each; an empty table gives an empty result; further columns are ignored. Repeats are found by
@@ -28,7 +29,8 @@ class Rules:
     max_dup_line_percent: int = 30
     min_mean_chars: float = 2.0
     max_mean_chars: float = 12.0
-    host_limit: float = 0.5
+    #: The prior's standard deviations above its mean from which a host is bad.
+    host_excess: float = 0.5
     #: Host tables of at most this many rows are broadcast; larger ones are joined by shuffle, where skew is split.
     broadcast_hosts: int = 20_000
 
@@ -67,7 +69,7 @@ def measure(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
 
 
 def judge(measured: DataFrame, host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """measured, with base_failed, soft_failures, host_rate and kept."""
+    """measured, with base_failed, soft_failures, host_rate, host_limit and kept."""
     n, r = F.col("n_words"), rules
     base = (n < r.min_words) | (100 * F.col("n_repeat_words") > r.max_repeat_percent * n)
     soft = (
@@ -83,15 +85,18 @@ def judge(measured: DataFrame, host_col: str = "source", rules: Rules = Rules())
     prior = hosts.agg((F.sum("__f") / F.sum("__n")).alias("__mu"), (F.sum(F.col("__n") * rate * rate) / F.sum("__n")).alias("__m2"))
     var = F.greatest(F.col("__m2") - F.col("__mu") * F.col("__mu"), F.lit(1e-9))
     strength = F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("__mu") * (1 - F.col("__mu")) / var - 1))
-    verdicts = hosts.crossJoin(F.broadcast(prior)).select("__host", ((F.col("__f") + strength * F.col("__mu")) / (F.col("__n") + strength)).alias("host_rate"))
+    prior = prior.select("__mu", strength.alias("__k"))
+    limit = F.col("__mu") + r.host_excess * F.sqrt(F.col("__mu") * (1 - F.col("__mu")) / (F.col("__k") + 1))
+    shrunken = (F.col("__f") + F.col("__k") * F.col("__mu")) / (F.col("__n") + F.col("__k"))
+    verdicts = hosts.crossJoin(F.broadcast(prior)).select("__host", shrunken.alias("host_rate"), limit.alias("host_limit"))
     if hosts.limit(rules.broadcast_hosts + 1).count() <= rules.broadcast_hosts:
         verdicts = F.broadcast(verdicts)
     d = d.join(verdicts, "__host")
-    return d.withColumn("kept", ~F.col("base_failed") & ~((F.col("soft_failures") > 0) & (F.col("host_rate") > r.host_limit))).drop("__host")
+    return d.withColumn("kept", ~F.col("base_failed") & ~((F.col("soft_failures") > 0) & (F.col("host_rate") > F.col("host_limit")))).drop("__host")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", rules: Rules = Rules(), ws: Workspace | None = None) -> DataFrame:
-    """One row per document: id, host, measures, base_failed, soft_failures, host_rate, kept. Texts are read once."""
+    """One row per document: id, host, measures, base_failed, soft_failures, host_rate, host_limit, kept. Texts are read once."""
     ws = ws or Workspace(docs.sparkSession, "quality")
     keep = [id_col] + ([host_col] if host_col != id_col else [])
     return judge(ws.put(measure(docs.select(*dict.fromkeys([*keep, text_col])), text_col, keep), "measures"), host_col, rules)
