@@ -69,4 +69,4 @@ def append_log(records: DataFrame, path: str, topic: str, partitions: int, first
     d = records.withColumn("partition", p)
     n = F.row_number().over(Window.partitionBy("partition").orderBy(order)) - 1
     d = d.select("key", "value", F.lit(topic).alias("topic"), "partition", (n + base).cast("long").alias("offset"), F.current_timestamp().alias("timestamp"))
-    d.coalesce(1).sortWithinPartitions("partition", "offset").write.mode("append").parquet(path)
+    d.repartition(partitions, "partition").sortWithinPartitions("partition", "offset").write.mode("append").parquet(path)

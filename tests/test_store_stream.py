@@ -182,3 +182,67 @@ def test_model_and_registry(spark, tmp_path):
     assert r.compare("v1", "v2").first().warnings == "DATASET_DIFFERS"
     with pytest.raises(ValueError):
         r.register("v1", "c", "d1", "s", {"ap": 0.1}, 0)
+
+
+def test_stream_follows_commits_made_after_it_was_built(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t", "id long")
+    t.append(spark.range(3), "app", 0)
+    s = t.stream()
+    t.append(spark.range(3, 6), "app", 1)
+    # A batch that was never committed is not seen.
+    spark.range(90, 99).write.parquet(f"file://{tmp_path}/t/staging/other")
+    out = VersionedTable(spark, f"file://{tmp_path}/out", "id long")
+    J.run_available(s, f"file://{tmp_path}/cp", "follow", sink(out, "follow"))
+    assert sorted(r.id for r in out.read().collect()) == [0, 1, 2, 3, 4, 5]
+    t.append(spark.range(6, 8), "app", 2)
+    J.run_available(t.stream(), f"file://{tmp_path}/cp", "follow", sink(out, "follow"))
+    assert out.read().count() == 8
+
+
+def test_two_writers_of_one_batch(spark, tmp_path):
+    a, b = (VersionedTable(spark, f"file://{tmp_path}/t", "id long") for _ in range(2))
+    a.append(spark.range(2), "app", 0)
+    stale = b.log()
+    assert a.append(spark.range(10, 15), "app", 1) == 1
+    real = b.log
+    b.log = iter([stale, stale, real()]).__next__  # a writer whose view of the log is old
+    assert b.append(spark.range(20, 29), "app", 1) is None
+    b.log = real
+    assert sorted(r.id for r in a.read().collect()) == [0, 1, 10, 11, 12, 13, 14]
+    assert [(c["folder"][-1], c["version"]) for c in a.log() if c["batch_id"] == 1] == [("1", 1)]
+    assert a.table_id == b.table_id
+
+
+def test_a_claim_without_a_commit_is_finished(spark, tmp_path, monkeypatch):
+    t = VersionedTable(spark, f"file://{tmp_path}/t", "id long")
+    monkeypatch.setattr(VersionedTable, "_finish", lambda self, name, post_commit=None: (_ for _ in ()).throw(InterruptedError()))
+    with pytest.raises(InterruptedError):
+        t.append(spark.range(4), "app", 0)
+    monkeypatch.undo()
+    assert t.read().count() == 0 and t.append(spark.range(4), "app", 0) == 0 and t.read().count() == 4
+
+
+def test_waves_get_following_versions(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t", "id long")
+    assert [t.append_wave(spark.range(2), "w", i) for i in range(2)] == [0, 1]
+    with pytest.raises(ValueError, match="next version"):
+        t.append_wave(spark.range(2), "w", 1)
+
+
+def test_journals_refuse_what_does_not_fit(spark, tmp_path):
+    from rillflow.operators import journals as Q
+
+    log = spark.createDataFrame([("a", 0, 0, "p"), ("b", 0, 2, "p")], "ready_event_id string, partition int, offset long, payload string")
+    c = Q.ReceiptConsumer(spark, f"file://{tmp_path}/c")
+    with pytest.raises(Exception, match="follow on"):
+        c.poll(log, 0)
+    c.poll(log.where("offset = 0"), 1)
+    c.poll(log.withColumn("offset", F.col("offset") - F.expr("int(offset > 0)")), 2)
+    assert {(r.partition, r.next_offset) for r in c.committed().collect()} == {(0, 2)} and c.receipts.read().count() == 2
+    with pytest.raises(Exception, match="lacks a row"):
+        Q.require_in(log, log.where("offset = 0"), "ready_event_id").collect()
+    with pytest.raises(Exception, match="differs"):
+        Q.require_payloads(log, log.withColumn("payload", F.lit("q"))).collect()
+    with pytest.raises(Exception, match="sealed"):
+        Q.require_seal(log, Q.seal(log.limit(1))).collect()
+    assert Q.require_seal(log, Q.seal(log)).count() == 2
