@@ -26,6 +26,8 @@ from .kernels import minimiser_runs, slices, word_digests, word_spans
 
 #: Strings of one minimiser beyond which they are judged window by window.
 HOT_STRINGS = 4000
+#: Tasks that buckets are dealt to at most.
+MOST_TASKS = 20_000
 
 _RUN = pa.struct([("mh", pa.int64()), ("dg", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 _BASE = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("sha", pa.string()), ("tag", pa.int32()), ("runs", pa.list_(_RUN))])
@@ -210,14 +212,17 @@ class Repeats:
         calm = self.ws.put(calm, "calm")
         sizes = {r["class"]: max(1, -(-r["count"] // self.bucket_strings)) for r in calm.groupBy("class").count().collect()} or {0: 1}
         buckets = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("class"))
-        judged = calm.withColumn("bucket", F.pmod(F.xxhash64("mh"), buckets)).groupBy("class", "bucket").applyInArrow(judge(self.k), JUDGED)
+        # As many tasks as buckets: by their bytes, which say little of the time they take, they would be put together.
+        judged = calm.withColumn("bucket", F.pmod(F.xxhash64("mh"), buckets)).repartition(min(MOST_TASKS, sum(sizes.values())), "class", "bucket")
+        judged = judged.groupBy("class", "bucket").applyInArrow(judge(self.k), JUDGED)
         if hot.limit(1).count():
             win = self.ws.put(hot.mapInArrow(_windows(self.unit, self.k), "mh long, dg long, i int, first long, places long, w binary"), "windows")
-            each = win.groupBy("mh", "w").agg(F.min("first").alias("lo"), F.sum("places").alias("c"))
+            each = self.ws.put(win.groupBy("mh", "w").agg(F.min("first").alias("lo"), F.sum("places").alias("c")), "each")
             single = win.join(each, ["mh", "w"]).groupBy("mh", "dg").agg(F.array_sort(F.collect_list(F.struct("i", "lo", (F.col("c") > 1).alias("many")))).alias("x"))
             judged = judged.unionByName(single.select("mh", "dg", F.transform("x", lambda x: x["lo"]).alias("firsts"), F.transform("x", lambda x: x["many"]).alias("many")).mapInArrow(_pack, JUDGED))
         judged = self.ws.put(judged, "judged")
-        known = strings.select("mh", "dg", "first", "places").join(judged, ["mh", "dg"], "left")
+        # A table, so that the join below is of two exchanges and a string with very many places can be split.
+        known = self.ws.put(strings.select("mh", "dg", "first", "places").join(judged, ["mh", "dg"], "left"), "known")
         return again.join(known, ["mh", "dg"]).select("doc_id", "tag", "start", "n", "first", "places", "lo", "firsts", "any", "many")
 
     def has_repeats(self) -> bool:
