@@ -253,7 +253,7 @@ def fit(urls: DataFrame, sample: int = 20_000, boosting: Boosting = Boosting(),
         return model
     # Half as many again as are wanted, by the same hash, so that no task sends the driver a sample of its own.
     share = min(1.0, 1.5 * sample / n.sum())
-    near = known.where(F.xxhash64("url", "page_id") <= int((2 * share - 1) * (2**63 - 1)))
+    near = known.where(F.shiftright(F.xxhash64("url", "page_id"), 33) < int((2 * share - 1) * 2**30))
     rows = near.orderBy(F.xxhash64("url", "page_id"), "page_id").limit(sample).collect()
     t, b, f = (np.array([r[c] for r in rows]) for c in ("y", "bin", "fold"))
     if not 0 < t.sum() < len(t):
