@@ -114,12 +114,12 @@ s as (select *, case when n_words = 0 then 0 else (100 * n_symbols > 10 * n_word
 h as (select host, count(*)::double as n, sum((base_failed or soft > 0)::int)::double as f from s group by host),
 p as (select sum(f) / sum(n) as mu, sum(n * (f / n) * (f / n)) / sum(n) as m2 from h),
 k as (select mu, greatest(1.0, least(1e6, mu * (1 - mu) / greatest(m2 - mu * mu, 1e-9) - 1)) as strength from p),
-v as (select host, (f + strength * mu) / (n + strength) as rate from h, k)
+v as (select host, (f + strength * mu) / (n + strength) as rate, mu + 0.5 * sqrt(mu * (1 - mu) / (strength + 1)) as host_limit from h, k)
 """
 
 _OP3 = f"""
 with {_OP3_MEASURES}
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (soft > 0 and rate > 0.5) as kept
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (soft > 0 and rate > host_limit) as kept
 from s join v using (host)
 """
 
@@ -154,5 +154,37 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 """
 
 
+#: In hexadecimal, two characters a byte; windows are compared by 128-bit digests.
+_OP8 = """
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+win as (select doc_id, i, md5_number(h[2 * i + 1:2 * i + 400]) as g from (select doc_id, h, unnest(range(0, len(h) // 2 - 199)) as i from t)),
+cov as (select doc_id, i from (select doc_id, i, count(*) over (partition by g) as c from win) where c > 1),
+st as (select doc_id, i, coalesce(i - lag(i) over (partition by doc_id order by i) > 200, true) as new, least(200, coalesce(lead(i) over (partition by doc_id order by i) - i, 200)) as n from cov),
+sp as (select doc_id, i, n, sum(new::int) over (partition by doc_id order by i) as s from st),
+span as (select doc_id, min(i) as a, max(i) + 200 as b from sp group by doc_id, s),
+gap as (select doc_id, b as lo, coalesce(lead(a) over (partition by doc_id order by a), 1000000000000) as hi from span union all select doc_id, 0, min(a) from span group by doc_id),
+k as (select doc_id, string_agg(h[2 * lo + 1:least(2 * hi, len(h))], '' order by lo) as kept from gap join t using (doc_id) group by doc_id),
+r as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from span group by doc_id)
+select t.doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from t left join r using (doc_id) left join k using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": _OP1, "op2_exact_dedup": _OP2, "op3_quality_rules": _OP3, "op4_substring_dedup": _OP4, "op5_chat_formatting": _OP5}
+    return {"op1_ngram_jaccard_join": _OP1, "op2_exact_dedup": _OP2, "op3_quality_rules": _OP3, "op4_substring_dedup": _OP4, "op5_chat_formatting": _OP5, "op8_suffix_array_dedup": _OP8}
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: What is left of the documents after the pipeline's quality rules, after its exact dedup and after its near-copy stage.
+_QUALITY = f"""with recursive {_OP3_MEASURES.strip()},
+q as (select documents.* from documents join (select doc_id from s join v using (host) where not base_failed and not (soft > 0 and rate > host_limit)) using (doc_id))"""
+_EXACT = f"""{_QUALITY}, e as (select * from q where doc_id in (select min(doc_id) from q group by {_LOWER}))"""
+_NEAR = f"""{_EXACT},
+nw as (select doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from e),
+ns as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from nw),
+nn as (select doc_id, count(*) as n from ns group by 1),
+np as (select a.doc_id as a, b.doc_id as b, count(*) as o from ns a join ns b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+nl as (select a, b from np join nn x on x.doc_id = a join nn y on y.doc_id = b where 100 * o >= 80 * (x.n + y.n - o)),
+ne as (select a, b from nl union all select b, a from nl),
+nr as (select doc_id as node, doc_id as other from e union select nr.node, ne.b from nr join ne on ne.a = nr.other),
+near as (select * from e where doc_id in (select node from nr group by node having min(other) = node))"""
+STAGE_SQL = [f"{_QUALITY} select * from q", f"{_EXACT} select * from e", f"{_NEAR} select * from near"]
