@@ -61,13 +61,40 @@ def test_exact_dedup_repeated_rows_and_null_ids(spark):
     assert exact_dedup(d.limit(0)).count() == 0
 
 
-def test_index_flush_compact_probe(spark):
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_index_levels_equal_brute_force(spark, keep):
+    r = random.Random(6)
     ws = Workspace(spark, "t")
-    index = DigestIndex(spark, ws)
-    for a, b in ((0, 5), (3, 8)):
-        index.flush(spark.range(a, b).select("id", (F.col("id") + 100 * a).alias("row"), F.col("id").cast("string").alias("digest")))
-    assert {(r.digest, r.keep_id, r.group_size) for r in index.compact().where("group_size > 1").collect()} == {("3", 3, 2), ("4", 4, 2)}
-    assert index.probe(spark.createDataFrame([("4",)], "digest string")).count() == 2
+    index = DigestIndex(spark, ws, keep, fanout=2)
+    best = min if keep == "smallest" else max
+    seen, runs = {}, 0
+    for flush in range(4):
+        rows = [(r.choice([*range(40), None]), 1000 * flush + i, f"d{r.randrange(25)}") for i in range(60)]
+        index.flush(spark.createDataFrame(rows, "id long, row long, digest string").repartition(3))
+        for i, row, d in rows:
+            seen.setdefault(d, []).append((-1 if i is None else i, row))
+        if flush in (1, 3):
+            runs = sum(n for _, n in index.tables)
+            before = index.merges
+            found = {x.digest: (-1 if x.id is None else x.id, x.row, x.size) for x in index.compact().collect()}
+            assert found == {d: (*best(v), len(v)) for d, v in seen.items()}
+            # Two runs at a time, so as many levels as halvings.
+            assert index.merges - before == max(1, (runs - 1).bit_length()) and index.tables[0][1] == 1
+    assert runs > 3
+    probe = index.probe(spark.createDataFrame([("d4",), ("d4",), ("none",)], "digest string")).collect()
+    assert [x.digest for x in probe] == ["d4"]
+    index.flush(spark.createDataFrame([(7, 9000, "d4")], "id long, row long, digest string"))
+    assert index.probe(spark.createDataFrame([("d4",)], "digest string")).count() == 2
+
+
+def test_exact_dedup_verifies_rows_without_an_id(spark, monkeypatch):
+    from rillflow.llm import exact_dedup as E
+
+    # A digest of the first letter only: texts that differ under one are all kept, rows without an id among them.
+    monkeypatch.setattr(E.F, "sha2", lambda c, n: F.substring(c.cast("string"), 1, 1))
+    d = spark.createDataFrame([(None, "ab"), (2, "ac"), (3, "b"), (None, "b")], "doc_id long, text string")
+    got = {(x.row, x.kept, x.digest_clash) for x in exact_dedup(d.coalesce(1), keep="largest").collect()}
+    assert {(k, c) for r, k, c in got if r < 2} == {(True, True)} and sorted(k for r, k, c in got if r > 1 and not c) == [False, True]
 
 
 # -- quality ---------------------------------------------------------------------------------------------------------
@@ -106,6 +133,20 @@ def test_bad_hosts_take_soft_failures_with_them_and_spare_clean_documents(spark)
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_host_verdicts_change_documents(spark):
+    clean = " ".join(f"word{i}" for i in range(80))
+    soft = clean + " " + "### " * 20
+    rows = [(1000 * h + i, soft if i < 10 + 2 * h else clean, f"h{h}") for h in range(6) for i in range(100)]
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    rates = np.array([(10 + 2 * h) / 100 for h in range(6)])
+    mu, var = rates.mean(), rates.var()
+    strength = max(1.0, mu * (1 - mu) / var - 1)
+    limit = mu + 0.5 * np.sqrt(mu * (1 - mu) / (strength + 1))
+    bad = {f"h{h}" for h in range(6) if (100 * rates[h] + strength * mu) / (100 + strength) > limit}
+    assert bad and len(bad) < 4
+    assert {x.doc_id for x in got if not x.kept} == {x.doc_id for x in got if x.source in bad and x.soft_failures}
+
+
 # -- chat ------------------------------------------------------------------------------------------------------------
 
 TRICKY = ["", None, "</s>[INST] ok [/INST]", "\\", "\\</s>", "a\\\\[INST]", " </s>", "<|image:0|>", "[ROLE] x [/ROLE] ", "é\n\n", " [/INST]", "<s><s>[INST] "]
@@ -404,7 +445,11 @@ def test_rules_equal_brute_force(spark):
         host, path, rule, verdict = brute_rule(URLS[x.page_id], Q.RULES)
         assert (x.host, x.path, x.rule) == (host, path, rule), URLS[x.page_id]
         assert x.verdict == verdict if verdict else x.verdict in ("allow", "block")
+    table = spark.createDataFrame(Q.RULES, "verdict string, rule string")
+    assert sorted(U.url_filter(d, table).collect(), key=str) == sorted(U.url_filter(d, Q.RULES).collect(), key=str)
     assert U.url_filter(d.limit(0), Q.RULES).count() == 0
+    with pytest.raises(Exception, match="not a rule"):
+        U.url_filter(d, spark.createDataFrame([("deny", "a/")], "verdict string, rule string")).collect()
 
 
 def test_trees_generalise(spark):
@@ -420,6 +465,16 @@ def test_trees_generalise(spark):
     held = [(i, b) for i, _, b in rows if got[i].rule is None]
     assert len(held) > 300
     assert sum((got[i].verdict == "block") == b for i, b in held) / len(held) > 0.95
+    assert all(got[i].held_precision >= 0.9 and got[i].held_recall > 0.9 for i, _ in held)
+
+
+def test_trees_block_nothing_where_they_have_no_precision(spark):
+    # Which paths are blocked differs from suffix to suffix: rows of a suffix without labels cannot be told apart.
+    rows = [(i, f"http://h{i % 9}.site{i % 6}.com/{'xy'[i // 6 % 2]}/{i}") for i in range(1200)]
+    rows += [(5000 + i, f"http://h.other.net/{'xy'[i % 2]}/{i}") for i in range(100)]
+    rules = [("block" if (s + k) % 2 else "allow", f"site{s}.com/{'xy'[k]}/") for s in range(6) for k in (0, 1)]
+    got = U.url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules).where("rule is null").collect()
+    assert len(got) == 100 and {(x.verdict, x.held_precision) for x in got} == {("allow", None)}
 
 
 # -- shared helpers --------------------------------------------------------------------------------------------------
