@@ -100,7 +100,7 @@ def _without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("n-gram jaccard join", near), ("source mixing", mix), ("packing", packing)]
 
-#: The last two stages have no SQL form; tests hold the stages against brute force.
+#: The last two stages have no SQL form, so the whole has none; tests hold them against brute force. The first three have.
 ORACLE_SQL = None
 
 
@@ -111,3 +111,26 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs = Workspace(spark, "pipeline-run").put(docs, f"stage{i}")
     return docs
+
+
+def _through(last: int):
+    def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for i in range(last + 1):
+            docs = STAGES[i][1](spark, docs, sf_dir)
+            if i < last:
+                docs = Workspace(spark, "pipeline-part").put(docs, f"stage{i}")
+        return docs
+
+    return stages
+
+
+def parts() -> dict:
+    """What is left after each of the first three stages, as queries of their own."""
+    return {f"pipeline_{name}": _through(i) for i, name in enumerate(("quality", "exact", "near"))}
+
+
+def parts_sql() -> dict[str, str]:
+    from rillflow.llm.queries import STAGE_SQL
+
+    return dict(zip(parts(), STAGE_SQL, strict=True))
