@@ -21,7 +21,7 @@ from ..sources.events import with_views
 from ..sources.store import VersionedTable, sink
 from ..streaming import jobs as J
 from .event_queries import _F6, _FEAT, COUNT_US, LONG_POLICY, SUM_US, featured
-from .monitoring_queries import ASOF_2, TEST, TRAIN, VALIDATION
+from .monitoring_queries import _COHORT, ASOF_2, TEST, TRAIN, VALIDATION
 
 
 def _root(spark) -> str:
@@ -135,6 +135,16 @@ def prediction_ledger(spark, d):
     return ML.ledger(model, featured(spark, d), "candidate-1", VALIDATION, TEST, TRAIN).select("event_id", "ingestion_us", "candidate_id", F.round("p", 6).alias("p"), "currency", "country", "transaction_type", "fingerprint")
 
 
+def ledger_rows(spark, d):
+    """The ledger without what the model and the row digest add."""
+    return prediction_ledger(spark, d).drop("p", "fingerprint")
+
+
+def baseline_rows(spark, d):
+    """What the baseline scores, without the scores."""
+    return baseline_scores(spark, d).drop("p")
+
+
 _VALID = "source_id % 50 not in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15)"
 
 QUERIES = {
@@ -148,4 +158,6 @@ QUERIES = {
     "baseline_scores": (baseline_scores, None),
     "baseline_metrics": (baseline_metrics, None),
     "prediction_ledger": (prediction_ledger, None),
+    "ledger_rows": (ledger_rows, f"{with_views()} select event_id, ingestion_us, 'candidate-1' as candidate_id, currency, country, transaction_type from tx where ingestion_us >= {VALIDATION} and ingestion_us < {TEST}"),
+    "baseline_rows": (baseline_rows, f"{_COHORT} select event_id, cohort, fraud_label from co where cohort in ('validation', 'test')"),
 }

@@ -40,7 +40,8 @@ def version_diff(spark, d):
 
 
 def commit_segments(spark, d):
-    return T.commit_segments(_versions(spark, d).where("version <= 40"), 41)
+    v = _versions(spark, d)
+    return T.commit_segments(v, 1 + (v.agg(F.max("version")).first()[0] or 0))
 
 
 def outbox(spark, d):
@@ -94,7 +95,7 @@ def offset_acceptance(spark, d):
 
 
 def replay_plan(spark, d):
-    return T.replay_plan(E.predictions(_tx(spark, d)).where(F.col("ingestion_us") >= day(10)), "candidate-1")
+    return T.replay_plan(E.predictions(_tx(spark, d)), "candidate-1")
 
 
 def delivery_outcomes(spark, d):
@@ -124,7 +125,7 @@ def shadow_progress(spark, d):
 
 
 def publication_gate(spark, d):
-    b = _versions(spark, d).where("version <= 40").groupBy((F.col("version") / 4).cast("long").alias("batch")).agg(F.count("*").alias("events"))
+    b = _versions(spark, d).groupBy((F.col("version") / 4).cast("long").alias("batch")).agg(F.count("*").alias("events"))
     return T.publication_gate(b.withColumns({"accepted": F.col("batch") < 2, "active": F.col("batch") == 2}), 100, 5000)
 
 
@@ -166,8 +167,7 @@ def event_trace(spark, d):
     log = X.first_occurrence(E.transaction_log(tx)).select("event_id", F.col("kafka_offset").alias("dedup_offset"))
     roll = X.rolling(tx, 6 * E.HOUR_US, 24 * E.HOUR_US).select("event_id", "prior_transaction_count_5m", "prior_amount_sum_10m")
     stat = featured(spark, d).select("event_id", "prior_amount_observation_count", "statistical_feature_status")
-    ids = "event_id in (1, 10, 104, 777, 950)"
-    return tx.where(ids).select("event_id", "customer_id", "kafka_offset").join(log.where(ids), "event_id").join(roll.where(ids), "event_id").join(stat.where(ids), "event_id")
+    return tx.select("event_id", "customer_id", "kafka_offset").join(log, "event_id").join(roll, "event_id").join(stat, "event_id")
 
 
 def retention_check(spark, d):
@@ -287,7 +287,7 @@ def lineage_closure(spark, d):
 
 
 def lineage_cycles(spark, d):
-    return T.cycle_nodes(spark, spark.createDataFrame(EDGES, "src string, dst string")).where("node in ('x', 'y', 'z', 'ledger', 'drift')")
+    return T.cycle_nodes(spark, spark.createDataFrame(EDGES, "src string, dst string"))
 
 
 def corpus_manifest(spark, d):
@@ -347,7 +347,7 @@ QUERIES = {
     "first_visible": (first_visible, f"{_V} select * from fv"),
     "version_diff": (version_diff, f"""{with_views('versions')}, a as (select * from versions where version <= 6), b as (select event_id, version, case when event_id % 37 = 0 then 'x' else fingerprint end as fingerprint from versions where version <= 8 and event_id % 101 <> 0)
  select case when a.fingerprint is null then 'ADDED' when b.fingerprint is null then 'REMOVED' when a.fingerprint <> b.fingerprint then 'CHANGED' else 'SAME' end as change, count(*) as events from a full join b using (event_id) group by 1"""),
-    "commit_segments": (commit_segments, f"{with_views('versions')}, g as (select r.version, count(v.event_id) as added from (select unnest(range(0, 42)) as version) r left join versions v on v.version = r.version group by 1) select version, added, cast(sum(added) over (order by version) as bigint) as visible, cast(sum(added) over (order by version) - added as bigint) as visible_before from g"),
+    "commit_segments": (commit_segments, f"{with_views('versions')}, g as (select r.version, count(v.event_id) as added from (select unnest(range(0, (select max(version) + 2 from versions))) as version) r left join versions v on v.version = r.version group by 1) select version, added, cast(sum(added) over (order by version) as bigint) as visible, cast(sum(added) over (order by version) - added as bigint) as visible_before from g"),
     "outbox": (outbox, f"{_V} select * from ob"),
     "outbox_contiguity": (outbox_contiguity, f"{_V}, g as (select version, version - lag(version) over (order by version) as step from (select distinct version from versions)) select (select count(*) from g) as segments, (select count(*) from g where step <> 2) as gaps, count(*) as events, count(*) - count(distinct ready_event_id) as repeated_ids from ob"),
     "ready_envelopes": (ready_envelopes, f"""{_V}, j as (select ready_event_id, '{{"availability_contract_version":"feature-ready-v1","availability_state":"READY","event_id":"' || event_id || '","first_visible_delta_version":' || first_version || ',"ready_event_id":"' || ready_event_id || '","source_delta_table_id":"features","source_feature_row_fingerprint":"' || fingerprint || '"}}' as json from ob) select ready_event_id, json, cast(strlen(json) + 1 as bigint) as bytes from j"""),
@@ -356,7 +356,7 @@ QUERIES = {
     "transport_reconcile": (transport_reconcile, f"""{_V}, {_ACK}, {_DEL}, rc as (select ready_event_id, count(*) as n from dl where event_id % 13 <> 5 group by 1) select count(*) as prepared, count(ak.event_id) as acknowledged, count(n) as received, cast(sum(n) as bigint) as physical, cast(sum(n) - count(n) as bigint) as duplicates,
  count(case when ak.event_id is null then 1 end) as unacknowledged, count(case when ak.event_id is not null and n is null then 1 end) as unreceived, cast(0 as bigint) as unexpected from ob left join ak using (ready_event_id) left join rc using (ready_event_id)"""),
     "offset_acceptance": (offset_acceptance, f"""{with_views()}, l as (select 0 as part, event_id as off from tx where event_id % 999 <> 500), u as (select * from l union all select 1, off from l where off < 300) select part as "partition", min(off) as first_offset, max(off) as last_offset, count(distinct off) as offsets, max(off) - min(off) + 1 = count(distinct off) as contiguous from u group by 1"""),
-    "replay_plan": (replay_plan, f"{with_views('predictions')}, {_PLAN.format(f' where ingestion_us >= {day(10)}')} select * from rp"),
+    "replay_plan": (replay_plan, f"{with_views('predictions')}, {_PLAN.format('')} select * from rp"),
     "delivery_outcomes": (delivery_outcomes, f"""{with_views('predictions')}, {_PLAN.format('')}, dv as (select request_id, replay_sequence as sequence, 'ok' as payload from rp union all select request_id, replay_sequence + 1000000000, case when event_id % 27 = 0 then 'other' else 'ok' end from rp where event_id % 9 = 0),
  g as (select request_id, arg_min(payload, sequence) as payload, count(*) as n, count(distinct payload) as k from dv group by 1) select case when k > 1 then 'CONFLICT' when n > 1 then 'REPEATED' else 'DELIVERED' end as status, payload, count(*) as requests, cast(sum(n) as bigint) as deliveries from g group by 1, 2"""),
     "shadow_status_counts": (shadow_status_counts, f"{with_views('predictions')} select currency, case when event_id % 5 = 0 then 'OUT_OF_SCOPE' when event_id % 7 = 0 then 'INPUT_REJECTED' when event_id % 11 = 0 then 'INFERENCE_FAILED' else 'SCORED' end as execution_status, count(*) as requests from predictions group by 1, 2"),
@@ -364,7 +364,7 @@ QUERIES = {
  select count(abs(p - q)) as compared, count(case when q is null then 1 end) as missing, count(case when p is null then 1 end) as unexpected, count(case when abs(p - q) > 1e-12 then 1 end) as mismatched, {_r('max(abs(p - q))')} as max_absolute, {_r('max(case when p <> 0 then abs(p - q) / abs(p) end)')} as max_relative from (select event_id, p from predictions) a full join b using (event_id)"""),
     "shadow_progress": (shadow_progress, f"""{_V}, {_ACK}, {_DEL} select (select count(*) from ob) - (select count(*) from ak) as transport_backlog, (select count(*) from ak where event_id % 2 = 1) as inference_backlog, (select count(*) from ob) as prepared, (select count(*) from ak) as accepted, (select count(*) from ak where event_id % 2 = 0) as completed,
  (select count(*) from dl) - (select count(*) from ak) as duplicate_notifications, cast(4 as bigint) as discovery_backlog, 'PROCESSING' as state"""),
-    "publication_gate": (publication_gate, f"""{with_views('versions')}, b as (select version // 4 as batch, count(*) as events, version // 4 < 2 as accepted, version // 4 = 2 as active from versions where version <= 40 group by all) select batch, events, accepted, active, case when accepted then 'ALREADY_ACCEPTED' when batch <> (select min(batch) from b where not accepted) then 'NOT_EARLIEST' when active and 100 + events <= 5000 then 'AUTHORISED' when active then 'PAUSED_BACKPRESSURE' else 'OTHER_ACTIVE' end as decision from b"""),
+    "publication_gate": (publication_gate, f"""{with_views('versions')}, b as (select version // 4 as batch, count(*) as events, version // 4 < 2 as accepted, version // 4 = 2 as active from versions group by all) select batch, events, accepted, active, case when accepted then 'ALREADY_ACCEPTED' when batch <> (select min(batch) from b where not accepted) then 'NOT_EARLIEST' when active and 100 + events <= 5000 then 'AUTHORISED' when active then 'PAUSED_BACKPRESSURE' else 'OTHER_ACTIVE' end as decision from b"""),
     "shadow_reconcile": (shadow_reconcile, f"""{_V}, {_ACK} select stage, rows, rows as distinct_keys, (select count(*) from ob) - rows as missing, cast(0 as bigint) as unexpected from (select 'prepared' as stage, count(*) as rows from ob union all select 'accepted', count(*) from ak union all select 'results', count(*) from ak where event_id % 2 = 0)"""),
     "stage_reconcile": (stage_reconcile, f"""{with_views('tx_log')}, s as (select 'plan' as stage, event_id from tx union all select 'validated', event_id from tx where event_id % 50 <> 7 union all select 'deduplicated', event_id from tx_log where event_id % 50 <> 7 union all select 'statistical', event_id from tx where event_id % 50 not in (7, 8) union all select 'statistical', -5 from tx where event_id = 1)
  select stage, count(*) as rows, count(distinct event_id) as distinct_keys, (select count(*) from tx) - count(distinct case when event_id >= 0 then event_id end) as missing, count(distinct case when event_id < 0 then event_id end) as unexpected from s group by 1"""),
@@ -372,7 +372,7 @@ QUERIES = {
     "set_equality": (set_equality, f"{with_views()} select count(case when event_id % 50 <> 7 and event_id % 30 = 4 then 1 end) as only_left, count(case when event_id % 50 = 7 and event_id % 30 <> 4 then 1 end) as only_right, count(case when event_id % 50 <> 7 and event_id % 30 <> 4 then 1 end) as both from tx"),
     "wave_intersection": (wave_intersection, f"{with_views()} select customer_id from tx group by 1 having count(distinct wave) = 3"),
     "wave_cumulative": (wave_cumulative, f"{with_views()} select distinct customer_id, currency from tx where wave in (0, 1)"),
-    "event_trace": (event_trace, f"{_FEAT} select event_id, customer_id, kafka_offset, kafka_offset as dedup_offset, prior_transaction_count_5m, prior_amount_sum_10m, prior_amount_observation_count, statistical_feature_status from stat where event_id in (1, 10, 104, 777, 950)"),
+    "event_trace": (event_trace, f"{_FEAT} select event_id, customer_id, kafka_offset, kafka_offset as dedup_offset, prior_transaction_count_5m, prior_amount_sum_10m, prior_amount_observation_count, statistical_feature_status from stat"),
     "retention_check": (retention_check, f"{with_views('versions')} select count(distinct version // 2) as commits, min(version // 2) as first_commit, max(version // 2) as last_commit, max(version // 2) - min(version // 2) + 1 = count(distinct version // 2) as complete from versions"),
     "notification_resolution": (notification_resolution, f"{_V} select first_version, count(*) as notifications, count(case when event_id % 61 <> 0 then 1 end) as resolved from ob group by 1"),
     "archive_parity": (archive_parity, f"{with_views('predictions')} select case when ingestion_us < {day(12)} then 'train' else 'test' end as split, count(*) as compared, count(case when event_id % 500 = 1 then 1 end) as mismatches from predictions where event_id % 10 <> 3 group by 1"),
@@ -389,7 +389,7 @@ QUERIES = {
     "registry_compare": (registry_compare, f"with r(version, dataset, split, fingerprint, ap, auc) as (values {_VALUES(RUNS)}) select a.version as left_version, b.version as right_version, {_r('cast(b.ap as double) - cast(a.ap as double)')} as ap_change, {_r('cast(b.auc as double) - cast(a.auc as double)')} as auc_change, concat_ws(',', case when a.dataset <> b.dataset then 'DATASET_DIFFERS' end, case when a.split <> b.split then 'SPLIT_DIFFERS' end) as warnings from r a join r b on b.version > a.version"),
     "registry_eligibility": (registry_eligibility, "select * from (values ('c1', true, false), ('c2', false, false), ('c3', false, false), ('c4', false, false), ('c5', false, false)) as t(candidate, research_eligible, production_eligible)"),
     "lineage_closure": (lineage_closure, f"with recursive e(src, dst) as (values {_VALUES(EDGES)}), c as (select 'outcomes' as node, 0 as depth union select dst, depth + 1 from c join e on src = node) select node, cast(min(depth) as integer) as depth from c group by 1"),
-    "lineage_cycles": (lineage_cycles, "select unnest(['x', 'y', 'z']) as node"),
+    "lineage_cycles": (lineage_cycles, f"with recursive e(src, dst) as (values {_VALUES(EDGES)}), c as (select src, dst from e union select c.src, e.dst from c join e on e.src = c.dst) select distinct src as node from c where src = dst"),
     "corpus_manifest": (corpus_manifest, G.MANIFEST_SQL.format(n=3000, seed=7)),
     "corpus_profiles": (corpus_profiles, G.PROFILES_SQL.format(n=3000, seed=7)),
     "wave_ranges": (wave_ranges, f"{with_views()} select wave, count(*) as events, min(event_id) as first_id, max(event_id) as last_id, min(event_us) as first_us, max(event_us) as last_us from tx group by 1"),
