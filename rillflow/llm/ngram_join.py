@@ -535,12 +535,13 @@ def links(docs: DataFrame, k: int, measure: Measure, ws: Workspace) -> tuple[Dat
     # Members that are not connected to a pivot, against the others of its lists: by sketch, then by set.
     lists = ws.put(named(near.select("pivot", "member", "n"), comp), "members")
     lists = blocks(lists.join(sk.select(F.col("doc_id").alias("member"), "sk"), "member"), F.greatest(F.lit(BLOCK_BYTES / BLOCK), F.length("sk")), BLOCK_BYTES)
-    close = ws.put(lists.groupBy("pivot", "ub", "mb").applyInArrow(_close(measure), _CLOSE).distinct(), "close")
+    # Dealt by block: else the blocks of a pivot stay in the task that the join by pivot brought them to.
+    close = ws.put(lists.repartition("pivot", "ub", "mb").groupBy("pivot", "ub", "mb").applyInArrow(_close(measure), _CLOSE).distinct(), "close")
     if close.limit(1).count():
         ws.drop("shingles")
         sets = made(close, np.asarray, "shingles")
         left = blocks(close, F.col("n"), BLOCK_SHINGLES).join(sets.select(F.col("doc_id").alias("member"), F.col("n").alias("m"), "shingles"), "member").drop("n").withColumnRenamed("m", "n")
-        settled = left.groupBy("pivot", "ub", "mb").applyInArrow(_settle(measure), "a long, b long")
+        settled = left.repartition("pivot", "ub", "mb").groupBy("pivot", "ub", "mb").applyInArrow(_settle(measure), "a long, b long")
         comp = components(spark, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(settled), ws, name="third")
     ws.drop("shingles")
     return sizes, gone, comp
