@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import event_queries, journal_queries, monitoring_queries, stream_queries, transport_queries
+from .plans import event_queries, governance_queries, journal_queries, monitoring_queries, stream_queries, transport_queries
 
-MODULES = [event_queries, monitoring_queries, transport_queries, stream_queries, journal_queries]
+MODULES = [event_queries, monitoring_queries, transport_queries, stream_queries, journal_queries, governance_queries]
 
 
 def flagship(spark, sf_dir):

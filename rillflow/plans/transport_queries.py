@@ -266,7 +266,8 @@ def registry_compare(spark, d):
     """Every later version against the one before, with warnings where datasets or splits differ."""
     r = spark.createDataFrame(RUNS, "version string, dataset string, split string, fingerprint string, ap double, auc double")
     a, b = r.alias("a"), r.alias("b")
-    j = a.join(b, F.col("b.version") > F.col("a.version"))
+    number = lambda c: F.substring(c, 2, 18).cast("long")
+    j = a.join(b, number("b.version") > number("a.version"))
     warn = F.concat_ws(",", F.when(F.col("a.dataset") != F.col("b.dataset"), "DATASET_DIFFERS"), F.when(F.col("a.split") != F.col("b.split"), "SPLIT_DIFFERS"))
     return j.select(F.col("a.version").alias("left_version"), F.col("b.version").alias("right_version"), F.round(F.col("b.ap") - F.col("a.ap") + 1e-9, 6).alias("ap_change"), F.round(F.col("b.auc") - F.col("a.auc") + 1e-9, 6).alias("auc_change"), warn.alias("warnings"))
 
