@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import artifacts as A
+from ..operators import features as X
 from ..operators import governance as V
 from ..operators import modelling as ML
 from ..operators import transport as T
@@ -12,7 +13,9 @@ from ..sources import events as E
 from ..sources import generator as G
 from ..sources import readers as R
 from ..sources.events import with_views
-from ..sources.store import VersionedTable
+from ..sources.store import VersionedTable, sink
+from ..streaming import jobs as J
+from .event_queries import LONG_POLICY, featured
 from .monitoring_queries import _COHORT, _r
 from .stream_queries import _dataset, _root
 from .transport_queries import _tx
@@ -148,6 +151,46 @@ def invalid_scenarios(spark, d):
     return x.select("scenario", F.array_contains(F.col("errors").cast("array<string>"), F.col("expected")).alias("as_expected"))
 
 
+def table_stream(spark, d):
+    """A stream over a versioned table, one of whose commits is made after the stream is built: rows it brought by wave."""
+    root, ddl = _root(spark), "event_id long, wave int"
+    tx = _tx(spark, d).select("event_id", "wave")
+    source, out = VersionedTable(spark, f"{root}/in", ddl), VersionedTable(spark, f"{root}/out", ddl)
+    for w in (0, 1):
+        source.append(tx.where(F.col("wave") == w), "loader", w)
+    stream = source.stream()
+    source.append(tx.where("wave = 2"), "loader", 2)
+    J.run_available(stream, f"{root}/checkpoint", f"table-{root[-6:]}", sink(out, "copy"))
+    return out.read().groupBy("wave").agg(F.count("*").alias("rows"), F.countDistinct("event_id").alias("events"))
+
+
+def late_rows(spark, d):
+    """Waves in the order 0, 2, 1 with a watermark of ten minutes: wave 1 is late, and the progress rows say so."""
+    root = _root(spark)
+    tx = _tx(spark, d).select("event_id", "event_time", "wave")
+    for w in (0, 2, 1):
+        tx.where(F.col("wave") == w).write.parquet(f"{root}/in/{w}")
+    config = J.StreamConfig("late", watermark="10 minutes")
+    out = VersionedTable(spark, f"{root}/out", "event_id long, event_time timestamp, wave int")
+    rows = None
+    for w in (0, 2, 1):  # a run for each, from one checkpoint
+        if w != 0:
+            spark.read.parquet(f"{root}/in/{w}").write.mode("append").parquet(f"{root}/in/0")
+        stream = spark.readStream.schema(tx.schema).parquet(f"{root}/in/0")
+        q = J.run_available(J.deduplicated(stream, config), f"{root}/checkpoint", f"late-{w}-{root[-6:]}", sink(out, "late"))
+        p = J.progress_table(spark, q).agg(F.sum("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows")).withColumn("wave", F.lit(w))
+        rows = p if rows is None else rows.unionByName(p)
+    kept = out.read().groupBy("wave").agg(F.count("*").alias("kept"))
+    return rows.join(kept, "wave", "left").na.fill(0, ["kept"])
+
+
+def risk_quarantine(spark, d):
+    """Features without a status are left out of the decisions instead of failing them."""
+    status = F.when(F.col("event_id") % 19 != 3, F.col("statistical_feature_status"))
+    f = featured(spark, d).withColumn("statistical_feature_status", status)
+    return X.decide(f, LONG_POLICY, mode="quarantine").groupBy("currency").agg(F.count("*").alias("rows"))
+
+
 _FAILED = "concat_ws(',', case when customer_id % 7 = 3 then 'validation_status' end, case when customer_id % 9 = 4 then 'data_origin' end, case when m > 0 then 'mismatches' end, case when customer_id % 11 = 5 then 'model_tree_sha256' end)"
 _GRAPH = "c as (select distinct customer_id as id, country from tx)"
 
@@ -168,4 +211,7 @@ QUERIES = {
  select 'v' || (9 + a.wave) as left_version, 'v' || (9 + b.wave) as right_version, metric, {_r('a.v')} as left_value, {_r('b.v')} as right_value, {_r('b.v - a.v')} as change, case when b.wave = 2 then 'DATASET_DIFFERS,' else '' end || 'SPLIT_DIFFERS' as warnings from m a join m b using (metric) where b.wave = a.wave + 1"""),
     "archived_candidate": (archived_candidate, f"{_COHORT} select count(*) as compared, cast(0 as bigint) as mismatches from co where cohort in ('validation', 'test')"),
     "invalid_scenarios": (invalid_scenarios, "select unnest(['blank_customer', 'malformed_id', 'negative_amount', 'lower_currency', 'wire_transfer', 'future_schema', 'bad_time']) as scenario, true as as_expected"),
+    "table_stream": (table_stream, f"{with_views()} select wave, count(*) as rows, count(*) as events from tx group by 1"),
+    "late_rows": (late_rows, f"{with_views()} select wave, count(*) as input_rows, case when wave = 1 then count(*) else 0 end as late_rows, case when wave = 1 then 0 else count(*) end as kept from tx group by 1"),
+    "risk_quarantine": (risk_quarantine, f"{with_views()} select currency, count(*) as rows from tx where event_id % 19 <> 3 group by 1"),
 }
