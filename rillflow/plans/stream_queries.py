@@ -29,16 +29,9 @@ def _root(spark) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
-def _waves(spark, d, root: str, columns: str, source=None) -> DataFrame:
-    """The transactions as a stream of one sorted file per wave, written one after the other."""
-    tx = (source or E.transactions)(spark, d)
-    for w in (0, 1, 2):
-        tx.where(F.col("wave") == w).repartition(1).sortWithinPartitions("event_us", "event_id").write.mode("append").parquet(f"{root}/in")
-    schema = tx.schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in").selectExpr(*[c.strip() for c in columns.split(",")])
-
-
 def _run(spark, d, plan, ddl: str, name: str, columns: str, mode: str = "append", source=None):
+    """The transactions as a stream: each wave arrives in as many files as it has tasks, and the query is started again from
+    its checkpoint to take it as one batch. The state machines order a key's rows themselves."""
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
@@ -46,7 +39,11 @@ def _run(spark, d, plan, ddl: str, name: str, columns: str, mode: str = "append"
         table = VersionedTable(spark, f"{root}/out", ddl)
         config = J.StreamConfig(name, watermark="20 days", timeout="60 days")
         J.claim(spark, f"{root}/checkpoint", config, name)
-        J.run_available(plan(_waves(spark, d, root, columns, source), config), f"{root}/checkpoint", f"{name}-{uuid.uuid4().hex[:6]}", sink(table, name), mode)
+        tx = (source or E.transactions)(spark, d)
+        for w in (0, 1, 2):
+            tx.where(F.col("wave") == w).write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(tx.schema).parquet(f"{root}/in").selectExpr(*[c.strip() for c in columns.split(",")])
+            J.run_available(plan(stream, config), f"{root}/checkpoint", f"{name}-{uuid.uuid4().hex[:6]}", sink(table, name), mode)
         return table.read()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
