@@ -111,11 +111,15 @@ def avro_roundtrip(spark, d):
 
 
 def _dataset(spark, d):
-    return M.temporal_cohorts(M.dataset_asof(featured(spark, d), E.label_history(E.transactions(spark, d)), ASOF_2), TRAIN, VALIDATION, TEST)
+    """The three cohorts as a table: fitting reads them several times."""
+    ds = M.temporal_cohorts(M.dataset_asof(featured(spark, d), E.label_history(E.transactions(spark, d)), ASOF_2), TRAIN, VALIDATION, TEST)
+    path = f"{_root(spark)}/dataset"
+    ds.write.parquet(path)
+    return spark.read.schema(ds.schema).parquet(path)
 
 
 def baseline_scores(spark, d):
-    ds = _dataset(spark, d).persist()
+    ds = _dataset(spark, d)
     model = ML.fit(ds.where("cohort = 'train'"))
     return ML.scored(model, ds.where("cohort in ('validation', 'test')"), ["event_id", "cohort", "fraud_label"]).select("event_id", "cohort", "fraud_label", F.round("p", 6).alias("p"))
 
