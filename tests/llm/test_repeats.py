@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rillflow.llm import repeats
+from rillflow.llm import suffix_dedup as suffix_dedup_module
 from rillflow.llm.kernels import minimiser_runs, mix
 from rillflow.llm.substring_dedup import substring_dedup
 from rillflow.llm.suffix_dedup import collection, range_minima, repeated, suffix_dedup
@@ -116,6 +118,31 @@ def test_repeated_equals_brute_force(k):
     assert [x.tolist() for x in repeated(strings, k)] == [[count[s[i : i + k]] > 1 for i in range(len(s) - k + 1)] for s in strings]
 
 
+def test_a_round_inserts_eight_bytes_of_every_string(monkeypatch):
+    r = random.Random(8)
+    body = bytes(r.randrange(256) for _ in range(336))
+    strings = [body[: r.randrange(300)] + bytes([r.randrange(256)]) + body for _ in range(6)]
+    strings = [b"", b"abc", *(s[-336:] for s in strings), body[5:300] + b"x" * 41]
+    rounds = []
+    monkeypatch.setattr(suffix_dedup_module, "range_minima", lambda *a: rounds.append(1) or range_minima(*a))
+    got = repeated(strings, 200)
+    count = {}
+    for s in strings:
+        for i in range(len(s) - 199):
+            count[s[i : i + 200]] = count.get(s[i : i + 200], 0) + 1
+    assert [x.tolist() for x in got] == [[count[s[i : i + 200]] > 1 for i in range(len(s) - 199)] for s in strings]
+    assert len(rounds) <= 336 // 8
+
+
+def test_windows_of_packed_verdicts():
+    bits = [[1, 0, 0, 1, 1, 0, 0, 0, 1], None, [0, 0], [], [0] * 15 + [1]]
+    rows = [{"start": 100 * i, "n": len(b or [1]), "many": None if b is None else np.packbits(np.array(b, bool)).tobytes()} for i, b in enumerate(bits)]
+    kind = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("many", pa.binary())])
+    at = lambda a, b: [100 * i + j for i in range(a, b) for j, x in enumerate(bits[i] or []) if x]
+    for a, b in [(0, 5), (1, 5), (2, 4), (1, 2), (5, 5)]:
+        assert suffix_dedup_module.windows(pa.array(rows, kind)[a:b]).tolist() == at(a, b)
+
+
 def test_range_minima():
     a = np.random.default_rng(1).integers(0, 250, 1000).astype(np.uint8)
     lo = np.random.default_rng(2).integers(0, 1000, 400)
