@@ -38,14 +38,14 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     return _POW[key][:n]
 
 
-def slices(batch: pa.RecordBatch, col: str = "text"):
+def slices(batch: pa.RecordBatch, col: str = "text", size: int = SLICE):
     """(rows, bytes, offsets) for consecutive rows; null texts are empty."""
     text = batch.column(batch.schema.get_field_index(col)).cast(pa.large_string()).fill_null("")
     off = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1 + text.offset)[text.offset :]
     data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None and off[-1] else np.zeros(0, np.uint8)
     i = 0
     while i < len(text):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         yield slice(i, j), data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 
@@ -122,7 +122,7 @@ def minimiser_runs(values: np.ndarray, off: np.ndarray, k: int, m: int) -> tuple
         return none
     cs = prefix(values)
     n, w = len(values), k - m + 1
-    g = span_digest(cs, np.arange(n - m + 1), np.arange(m, n + 1))
+    g = mix((cs[m:] - cs[: n - m + 1]) * powers(n + 1, True)[: n - m + 1] + U(m * 0xA24BAED4963EE407 % (1 << 64)))
     at = np.empty(n - k + 1, np.int64)
     for s in range(0, n - k + 1, _SEG):
         e = min(n - k + 1, s + _SEG)
@@ -130,12 +130,12 @@ def minimiser_runs(values: np.ndarray, off: np.ndarray, k: int, m: int) -> tuple
         at[s:e] = s + (sliding_min((part & ~_POS) | np.arange(len(part), dtype=U), w) & _POS).astype(np.int64)
     lens = np.diff(off)
     nwin = np.maximum(0, lens - k + 1)
-    text = np.repeat(np.arange(len(lens)), nwin)
-    if not len(text):
+    # Where the place changes, and where texts begin; not the windows that reach from one text into the next.
+    new = np.union1d(np.flatnonzero(at[1:] != at[:-1]) + 1, off[:-1][nwin > 0])
+    text = np.searchsorted(off, new, "right") - 1
+    own = new < off[text] + nwin[text]
+    new, text = new[own], text[own]
+    if not len(new):
         return none
-    win = np.arange(len(text)) - np.repeat(np.cumsum(nwin) - nwin, nwin) + np.repeat(off[:-1], nwin)
-    at = at[win]
-    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
-    count = np.diff(np.concatenate([new, [len(text)]]))
-    start = win[new]
-    return text[new], start - off[text[new]], count, g[at[new]], span_digest(cs, start, start + count + k - 1), at[new] - start
+    end = np.minimum(off[text] + nwin[text], np.append(new[1:], n))
+    return text, new - off[text], end - new, g[at[new]], span_digest(cs, new, end + k - 1), at[new] - new

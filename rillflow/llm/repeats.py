@@ -26,6 +26,8 @@ from .kernels import minimiser_runs, slices, word_digests, word_spans
 
 #: Strings of one minimiser beyond which they are judged window by window.
 HOT_STRINGS = 4000
+#: Bytes of texts taken at a time: their arrays of 64-bit values stay in the cache.
+SLICE = 1 << 17
 #: Tasks that buckets are dealt to at most.
 MOST_TASKS = 20_000
 
@@ -80,7 +82,7 @@ class Bytes:
 def _runs(unit, k: int, m: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, off in slices(batch):
+            for rows, data, off in slices(batch, size=SLICE):
                 values, so = unit.symbols(data, off)
                 text, start, count, mh, dg, _ = minimiser_runs(values, so, k, m)
                 at = np.searchsorted(text, np.arange(len(off)))

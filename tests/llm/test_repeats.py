@@ -134,6 +134,19 @@ def test_a_round_inserts_eight_bytes_of_every_string(monkeypatch):
     assert len(rounds) <= 336 // 8
 
 
+@pytest.mark.parametrize("unit", [repeats.Bytes, repeats.Words])
+def test_runs_do_not_depend_on_slices(monkeypatch, unit):
+    texts = [None, "", *passages(4, 30), "", passages(4, 30)[2], "short", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    out = []
+    for size in (1, 300, 1 << 20):
+        monkeypatch.setattr(repeats, "SLICE", size, raising=True)
+        out.append([r for b in repeats._runs(unit, 24, 7)(iter([batch])) for r in b.to_pylist()])
+    assert out[0] == out[1] == out[2]
+    assert [sum(r["n"] for r in x["runs"]) for x in out[0]] == [max(0, x["size"] - 23) for x in out[0]]
+    assert out[0][4]["runs"] == out[0][-3]["runs"] != []
+
+
 def test_windows_of_packed_verdicts():
     bits = [[1, 0, 0, 1, 1, 0, 0, 0, 1], None, [0, 0], [], [0] * 15 + [1]]
     rows = [{"start": 100 * i, "n": len(b or [1]), "many": None if b is None else np.packbits(np.array(b, bool)).tobytes()} for i, b in enumerate(bits)]
